@@ -3,13 +3,14 @@
 Every class of equal shingle sets has one signature. The forest keeps it in several sorted orders;
 in each order a class meets its neighbours with the longest common prefix, at a depth of at least
 ``DEPTH`` values. Where few classes share such a prefix all of them meet; where many do, the sorted
-order takes them to as many further values as leave ``REACH`` neighbours on either side, so that the
+order takes them to as many further values as leave ``NEAR`` neighbours on either side, so that the
 depth adapts to the region. Candidates are confirmed on the full shingle sets, links are closed to
 components, and classes of crowded regions that are still apart meet by an exact prefix-filter join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ PERCENT = 75
 #: Orders of the forest, and values of a signature: each order begins at its own four values.
 TREES, DEPTH = 32, 4
 VALUES = TREES * DEPTH
-#: Neighbours in a sorted order that a class meets at either side where a region is crowded.
-REACH = 8
+#: Neighbours in a sorted order that a class meets at either side: in a region of at most one more
+#: class than ``REACH`` that is every other; in a crowded one, the ``NEAR`` with the longest prefixes.
+REACH, NEAR = 8, 2
 #: Equal values of a signature below which a pair is no candidate: more than five standard
 #: deviations below what 75 per cent give.
 LEAST_EQUAL = 70
@@ -75,13 +77,35 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a sorted partition that lie within ``REACH`` of each other and share tree and first long.
+    """Pairs of neighbours in a sorted partition that share tree and first long, their region.
 
-    ``kind`` 0: a pair (a, b). 1: a row at a partition's edge, to be paired with its neighbours
-    over the edge. 2: the region (a: tree, b: first long) is crowded: not all its rows have met.
+    ``kind`` 0: a pair (a, b), no more than ``REACH`` apart in a small region, ``NEAR`` in a crowded
+    one. 1: a row at a partition's edge, to be paired over the edge. 2: the region (a: tree, b: first
+    long) is crowded: not all its rows have met.
     """
-    tail = None
-    head_left = REACH + 1
+    held, ahead, head_left = None, 0, REACH + 1
+
+    def settle(now: list[np.ndarray], ahead: int, done: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        """What the first ``done`` rows give; ``ahead``: rows of the first row's region before it."""
+        tree, hi, _, node = now
+        n = len(node)
+        fresh = np.ones(n + 1, dtype=bool)
+        fresh[1:-1] = (tree[1:] != tree[:-1]) | (hi[1:] != hi[:-1])
+        starts = np.flatnonzero(fresh)
+        region = np.cumsum(fresh[:-1]) - 1
+        before = np.arange(n) - starts[region]
+        before[region == 0] += ahead
+        after = starts[region + 1] - 1 - np.arange(n)
+        crowded = before + after > REACH
+        out = []
+        for d in range(1, REACH + 1):
+            at = np.flatnonzero((after[:done] >= d) & (~crowded[:done] | (d <= NEAR)))
+            a, b = node[at], node[at + d]
+            out.append(_rows(0, np.minimum(a, b), np.maximum(a, b)))
+        some = np.unique(np.stack([tree[:done][crowded[:done]].astype(np.int64), hi[:done][crowded[:done]]]), axis=1)
+        out.append(_rows(2, some[0], some[1]))
+        return out, before
+
     for batch in batches:
         now = [batch.column(c).to_numpy() for c in ("tree", "hi", "lo", "node")]
         if not len(now[0]):
@@ -89,25 +113,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if head_left > 0:
             yield _edge_rows([x[:head_left] for x in now])
             head_left -= len(now[0])
-        fresh = len(now[0])
-        if tail is not None:
-            now = [np.concatenate([t, x]) for t, x in zip(tail, now, strict=True)]
-        old = len(now[0]) - fresh
-        tree, hi, _, node = now
-        for d in range(1, REACH + 2):
-            if len(node) <= d:
-                break
-            at = np.flatnonzero((tree[d:] == tree[:-d]) & (hi[d:] == hi[:-d]))
-            at = at[at + d >= old]
-            if d <= REACH:
-                a, b = node[at], node[at + d]
-                yield _rows(0, np.minimum(a, b), np.maximum(a, b))
-            elif len(at):
-                crowded = np.unique(np.stack([tree[at].astype(np.int64), hi[at]]), axis=1)
-                yield _rows(2, crowded[0], crowded[1])
-        tail = [x[-(REACH + 1) :] for x in now]
-    if tail is not None:
-        yield _edge_rows(tail)
+        if held is not None:
+            now = [np.concatenate([t, x]) for t, x in zip(held, now, strict=True)]
+        done = len(now[0]) - (REACH + 1)
+        if done > 0:
+            out, before = settle(now, ahead, done)
+            yield from out
+            ahead = int(before[done])
+            now = [x[done:] for x in now]
+        held = now
+    if held is not None:
+        yield from settle(held, ahead, len(held[0]))[0]
+        yield _edge_rows(held)
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, tree=None, hi=None) -> pa.RecordBatch:
@@ -122,6 +139,12 @@ def _edge_rows(now: list[np.ndarray]) -> pa.RecordBatch:
     return _rows(1, now[3], now[2], now[0], now[1])
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(x, np.uint16).astype(np.uint8).tobytes() for x in batch.column("sign").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "sign"])
+
+
 _PAIRS = "kind int, a long, b long, tree int, hi long"
 
 
@@ -131,7 +154,7 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = batch.num_rows
         if not m:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(m, VALUES) for c in ("sa", "sb"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(m, VALUES) for c in ("sa", "sb"))
         equal = (x == y).sum(axis=1).astype(np.int32)
         keep = np.flatnonzero(equal >= LEAST_EQUAL)
         yield pa.RecordBatch.from_arrays([pa.array(batch.column("a").to_numpy()[keep]), pa.array(batch.column("b").to_numpy()[keep]), pa.array(equal[keep])], names=["a", "b", "equal"])
@@ -190,20 +213,30 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def crowded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     """All pairs of classes in different components that may be linked, by an exact prefix-filter join.
 
-    Of two linked sets each has one of its rarest ``n - ceil(0.75 n) + 1`` shingles in common with
-    the other's, rarity being counted over these sets. Rows of one shingle meet only where their
-    sizes allow a link and their components differ.
+    With shingles in one order of rarity (counted over these sets), two linked sets of m and n meet in
+    one of the first ``n - ceil(0.75 n) + 1`` of each. Where they first meet, the r that each has left
+    from there on bounds their overlap, which is to be 3/7 (m + n) at least: so m is at most 7/3 r - n.
+    Sets of one shingle are dealt by size in steps of a twentieth and looked up only in the steps that
+    this leaves: sets that share a frequent passage and no more don't all meet.
     """
     rows = sets.mapInArrow(_prefixes, "node long, shingle long, n long")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(counts, "shingle", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("own"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0) + 1
-    heads = ranked.select("node", "n", F.explode(F.slice("own", F.lit(1), length.cast("int"))).alias("s")).where("s.df > 1")
-    heads = heads.join(found, "node", "left").select("node", "n", F.col("s.shingle").alias("shingle"), F.coalesce("component", "node").alias("c"))
-    x, y = heads.alias("x"), heads.alias("y")
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-    sized = (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-    return x.join(y, met & sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    heads = ranked.select("node", "n", F.posexplode(F.slice("own", F.lit(1), length.cast("int"))).alias("i", "s")).where("s.df > 1")
+    heads = heads.join(found, "node", "left").select("node", "n", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("i")).alias("left"), F.coalesce("component", "node").alias("c"))
+    share = PERCENT / (100 + PERCENT)
+    step = lambda x: F.floor(F.log(x) / math.log(1.05)).cast("int")
+    # The larger (or equal) set looks up the smaller.
+    most = F.least(F.col("n").cast("double"), F.col("left") / share - F.col("n") + 1e-6)
+    least = F.ceil(F.col("n") * PERCENT / 100.0 - 1e-6)
+    x = heads.where(most >= least).withColumn("step", F.explode(F.sequence(step(least), step(most)))).alias("x")
+    y = heads.withColumn("step", step(F.col("n"))).alias("y")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.c") != F.col("y.c"))
+    larger = (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
+    enough = F.least("x.left", "y.left") >= share * (F.col("x.n") + F.col("y.n")) - 1e-6
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return x.join(y, met & larger & enough).select(*pair).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,7 +266,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = cut(same.where("u <> v").distinct())
 
     pairs = met.where("kind = 0").select("a", "b").unionByName(over.where("kind = 0").select("a", "b")).where("a <> b").distinct()
-    signs = classes.groupBy("node").agg(F.min_by("sign", "h1").alias("sign"))
+    # Of each value one byte is enough to compare pairs.
+    signs = classes.groupBy("node").agg(F.min_by("sign", "h1").alias("sign")).mapInArrow(_short, "node long, sign binary")
     pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sb")), "b")
     pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_equal, "a long, b long, equal int"), "pairs")
 
