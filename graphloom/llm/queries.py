@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.decontaminate import contaminated
+from graphloom.llm.extract import main_texts
+from graphloom.llm.imatch import fingerprints
+from graphloom.llm.licenses import license_scan
+from graphloom.llm.mixing import mix
 from graphloom.llm.neardup import near_duplicates
+from graphloom.llm.pii import personal_data
+from graphloom.llm.quality import scored
+from graphloom.llm.quotes import threads
+from graphloom.llm.sharding import balanced_shards
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +27,61 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return f
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the conversations in reply order, without quotes."""
+    return threads(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in the documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages")).drop("host")
+
+
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document gives to the mix."""
+    return mix(table(spark, sf_dir, "documents"))
