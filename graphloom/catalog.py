@@ -343,7 +343,7 @@ def _path_text(paths: DataFrame) -> DataFrame:
     return paths.select("source_id", "target_id", "depth", F.round("score", 9).alias("score"), shown.alias("path"))
 
 
-_PATH = graph.Walk(hops=3, fan_out=12)
+_PATH = graph.Walk(hops=3, directed=True)
 
 
 @query(_path_sql(_PATH, "('C:1')", "SELECT 'R:' || n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1", 1), uses="edges")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.filters import compiled
+from graphloom.session import reused
 
 MAX_HOPS = 5
 
@@ -92,10 +93,11 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, walk: Walk |
     steps = steps.join(nodes.select(F.col("node_id").alias("to")), "to", "left_semi")
     if allowed is not None:
         steps = steps.join(allowed.withColumnRenamed("node_id", "to"), "to", "left_semi")
+    steps, level = reused(steps), reused(level)
     reached = level.select("node_id", F.lit(0).alias("hops"), "score")
     for hop in range(1, walk.hops + 1):
         level = level.join(steps, level.node_id == steps["at"]).select(F.col("to").alias("node_id"), (F.col("score") * walk.decay * certainty(F.col("weight"))).alias("score"))
-        level = level.groupBy("node_id").agg(F.max("score").alias("score"))
+        level = reused(level.groupBy("node_id").agg(F.max("score").alias("score")))
         reached = reached.unionByName(level.select("node_id", F.lit(hop).alias("hops"), "score"))
     return reached.groupBy("node_id").agg(F.min("hops").alias("hops"), F.max("score").alias("score"))
 
@@ -120,23 +122,25 @@ def _walks(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: Data
     if allowed is not None:
         steps = steps.join(allowed.withColumnRenamed("node_id", "to"), "to", "left_semi")
         sources = sources.join(allowed, "node_id", "left_semi")
+    steps = reused(steps)
     # Least distance to a target, backwards; a partial path that can't arrive in time is dropped.
     near = targets.select(F.col("node_id").alias("to"), F.lit(0).alias("left"))
     for hop in range(1, walk.hops + 1):
         back = steps.join(near.select("to").distinct(), "to", "left_semi").select(F.col("at").alias("to"), F.lit(hop).alias("left"))
-        near = near.unionByName(back.distinct()).groupBy("to").agg(F.min("left").alias("left"))
+        near = reused(near.unionByName(back.distinct()).groupBy("to").agg(F.min("left").alias("left")))
     step = lambda node, relation, edge: F.struct(node.alias("node_id"), relation.cast("string").alias("relation"), edge.cast("string").alias("edge_id"))
     none = F.lit(None)
     paths = sources.join(near, sources.node_id == near["to"]).where(F.col("left") <= walk.hops)
     paths = paths.select(F.col("node_id").alias("source_id"), F.col("node_id").alias("end"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.array(F.col("node_id")).alias("seen"), F.array(step(F.col("node_id"), none, none)).alias("path"))
-    every = paths
-    steps = steps.join(near, "to")
+    every = paths = reused(paths)
+    steps = reused(steps.join(near, "to"))
     for hop in range(1, walk.hops + 1):
         grown = paths.join(steps, paths["end"] == steps["at"]).where((F.col("left") <= walk.hops - hop) & ~F.array_contains("seen", F.col("to")))
         paths = grown.select(
             "source_id", F.col("to").alias("end"), F.lit(hop).alias("depth"), (F.col("score") * certainty(F.col("weight"))).alias("score"),
             F.array_append("seen", F.col("to")).alias("seen"), F.array_append("path", step(F.col("to"), F.col("relation"), F.col("edge_id"))).alias("path"),
         )
+        paths = reused(paths)
         every = every.unionByName(paths)
     return every.join(targets.select(F.col("node_id").alias("end")), "end", "left_semi").drop("seen")
 

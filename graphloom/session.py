@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +27,11 @@ def local_session(app: str = "graphloom", cpus: int | str | None = None, partiti
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data set in ``sf_dir``, by Spark's own readers only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """``df`` kept for the steps that read it again, spilling to disk; what a lost executor held is computed anew.
+
+    Iterative plans use it so that each step's plan stays small. ``spark.catalog.clearCache()`` lets go.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
