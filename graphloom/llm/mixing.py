@@ -56,9 +56,9 @@ def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.floor(each)).withColumn("p", each - F.floor(each))
     ranked = with_rank(slim.join(goal, slim.source.eqNullSafe(goal.source)).drop(goal.source))
-    drawn = prefix_sums(ranked.where("p > 0").select("no", "rank", "doc_id", "size"), ["rank", "doc_id", "size"], ["size"], group="no")
-    lacking = goal.select("no", (F.col("target") - F.col("whole") * F.col("source_size")).alias("lacking"))
-    drawn = drawn.join(lacking, "no").where("2 * before_size + size <= 2 * lacking")
+    lacking = (F.col("target") - F.col("whole") * F.col("source_size")).alias("lacking")
+    drawn = prefix_sums(ranked.where("p > 0").select("no", "rank", "doc_id", "size", lacking), ["rank", "doc_id", "size"], ["size"], group="no")
+    drawn = drawn.where("2 * before_size + size <= 2 * lacking")
     last = drawn.groupBy("no").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size")).alias("last"))
     return slim, cut(goal.join(last, "no", "left"))
 
