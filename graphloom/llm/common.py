@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
@@ -47,6 +48,32 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Slots of the filter below; it stays this large whatever the number of ids.
+FILTER_SLOTS = 7 << 20
+
+
+def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition that holds for each id (long) in ``ids``, and for few others while they are few.
+
+    Seven hash slots to a byte, in a constant of fixed size: a cheap way to leave most rows out before
+    a shuffle join decides exactly. With very many ids it lets all rows pass.
+    """
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_SLOTS))
+    bits = F.bit_or(F.expr("shiftleft(1, int(slot % 7))")).alias("bits")
+    rows = ids.select(slot.alias("slot")).groupBy(F.expr("int(slot div 7)").alias("at")).agg(bits)
+    bitmap = bytearray(FILTER_SLOTS // 7 + 1)
+    for row in rows.toLocalIterator():  # no more rows than bytes
+        bitmap[row["at"]] = row["bits"]
+    known = F.lit(bytes(bitmap))
+
+    def may(own: Column) -> Column:
+        at = F.pmod(F.xxhash64(own.cast("long")), F.lit(FILTER_SLOTS))
+        byte = F.ascii(F.substring(known, (at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", byte, (at % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which the cluster's owner sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, cut, parallelism
+from graphloom.llm.common import Scratch, cut, id_filter, parallelism
 from graphloom.llm.components import components
 from graphloom.llm.words import groups, mix, row_sets, words
 
@@ -187,22 +187,32 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long")
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components, with those: ``a``, ``b``, ``ca``, ``cb``."""
+def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs with the components of their ends, ``ca`` and ``cb``; a class without links is its own."""
     a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     out = pairs.join(a, "a", "left").join(b, "b", "left")
-    out = out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return out.where("ca <> cb")
+    return out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """For each component its most similar candidate elsewhere, so few pairs join most of a group."""
-    ends = pairs.select("a", "b", "equal", F.explode(F.array("ca", "cb")).alias("c"))
+    """For each class its most similar candidate, so few pairs join most of a group."""
+    ends = pairs.select("a", "b", "equal", F.explode(F.array("a", "b")).alias("c"))
     best = F.max_by(F.struct("a", "b"), F.struct("equal", F.xxhash64("a", "b"))).alias("p")
     return ends.groupBy("c").agg(best).select("p.a", "p.b").distinct()
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (``a``, ``b``) too, found among the components that those connect."""
+    bridges = cut(_with_components(links, found).where("ca <> cb").select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct())
+    if bridges.isEmpty():
+        return found
+    over = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    alone = bridges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = found.unionByName(alone).join(over, "component", "left")
+    return cut(every.select("node", F.coalesce("further", "component").alias("component")))
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, own in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
@@ -273,30 +283,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def shingled(nodes: DataFrame, name: str) -> DataFrame:
         """The full sets of the classes ``nodes`` (``node``), from the text of one document of each."""
-        own = docs.join(nodes, docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+        some = docs.where(id_filter(nodes, "node")(F.col("doc_id")))
+        own = some.join(nodes, some.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
         own = own.mapInArrow(_sets, "node long, h1 long, shingles binary")
         return scratch.table(own.groupBy("node").agg(F.min_by("shingles", "h1").alias("shingles")), name)
 
-    sets = shingled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets")
-    links = same.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    left = pairs
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for last in (False, False, True):
-        left = scratch.table(_apart(left.select("a", "b", "equal"), found), f"left{int(last)}-{id(left)}")
-        tried = left.select("a", "b") if last else cut(_best(left))
-        links = cut(links.unionByName(_linked(tried, sets)))
-        found = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        if not last:
-            left = left.join(tried, ["a", "b"], "left_anti")
+    sets = shingled(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    tried = cut(_best(pairs))
+    links = _linked(tried, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = cut(components(links.unionByName(same)))
+    left = _with_components(pairs.join(tried, ["a", "b"], "left_anti"), found).where("ca <> cb")
+    found = _joined(found, _linked(left, sets))
 
     crowded = met.where("kind = 2").unionByName(over.where("kind = 2")).select(F.col("a").cast("int").alias("tree"), F.col("b").alias("hi")).distinct()
     members = orders.join(crowded, ["tree", "hi"]).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    members = scratch.table(members.select("tree", "hi", "node", "c"), "members")
     open_regions = members.groupBy("tree", "hi").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
     rest = cut(members.join(open_regions, ["tree", "hi"], "left_semi").select("node").distinct())
     if not rest.isEmpty():
         rest_sets = shingled(rest, "rest")
-        links = cut(links.unionByName(_linked(crowded_pairs(rest_sets, found), rest_sets)))
-        found = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        found = _joined(found, _linked(crowded_pairs(rest_sets, found), rest_sets))
 
     named_classes = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), F.when(F.col("n_shingles") > 0, F.col("h2")).alias("h2"))
