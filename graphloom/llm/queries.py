@@ -85,3 +85,30 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document gives to the mix."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_neardup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 75 * (a.n + b.n - both)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES["op10_mix"] = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST(CAST('0x' || substr(md5('20240607:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
+r AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM s GROUP BY source),
+w AS (SELECT *, (no - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM r),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER a, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER a, 0) AS DOUBLE) AS level FROM w WINDOW a AS (ORDER BY CAST(cap AS DOUBLE) / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level FROM l WHERE level * weight <= cap ORDER BY CAST(cap AS DOUBLE) / weight, no LIMIT 1),
+t AS (SELECT source, no, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM f), 0) * weight) AS target FROM w),
+d AS (SELECT s.*, no, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(each) AS whole, each - floor(each) AS p, u / (1 - u) / ((each - floor(each)) / (1 - (each - floor(each)))) AS rank FROM d),
+b AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY no ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q),
+c AS (SELECT *, CAST(whole AS INTEGER) + CASE WHEN p > 0 AND 2 * ahead + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS copies FROM b)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies FROM c
+"""
