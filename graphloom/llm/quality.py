@@ -24,6 +24,8 @@ FILTERS, WIDTH, HIDDEN = 24, 6, 12
 #: Labelled rows of each class that train the network at most, bytes of the longest of them, and
 #: chunks of each text that are used in training.
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_CHUNKS = 1200, 1 << 17, 24
+#: Bytes of the short pieces of texts that are trained on besides: at least, and fewer than.
+PIECE = (16, 200)
 EPOCHS, BATCH, RATE, DECAY = 9, 64, 0.006, 1e-5
 #: Remainders of crc32 of the id by FOLDS that are held out are 0.
 FOLDS = 5
@@ -91,6 +93,10 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 1) -> Model:
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     picked = np.concatenate([np.arange(a, b) if b - a <= TRAIN_CHUNKS else np.sort(rng.choice(np.arange(a, b), TRAIN_CHUNKS, replace=False)) for a, b in zip(first[:-1], first[1:], strict=True)])
     x, d = chunks[picked], doc[picked]
+    # A short piece from the middle of each text besides, so that few bytes alone speak neither for nor against.
+    pieces = [t[len(t) // 2 :][: int(n)] for t, n in zip(texts, rng.integers(*PIECE, len(texts)), strict=True)]
+    short, _ = chunked(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
+    x, d = np.concatenate([x, short]), np.concatenate([d, np.arange(len(texts))])
     bad = (1 - good)[d].astype(np.float32)
     share = 1 / np.bincount(d, minlength=len(texts))[d]
     share = (share / share.mean()).clip(0.2, 5).astype(np.float32)
