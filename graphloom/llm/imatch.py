@@ -22,14 +22,16 @@ SLOT_BITS = 20
 #: Share of documents that a term of the lexicon is in, at least and at most.
 LOW, HIGH = 0.0005, 0.05
 #: Subsets keep one term of 2 ** e; so many are drawn of each rate.
-RATES, DRAWS = (1, 3, 5, 7, 9), 10
+RATES, DRAWS = (1, 3, 5, 7, 9), 16
+#: Terms of a document at most for which the densest subsets count.
+FEW = 32
 
 _FIRST = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Slots of the distinct terms of a text: runs of letters and digits, lower-cased."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Slots of the distinct terms of a text: runs of ASCII letters and digits and all other characters, lower-cased."""
+    found = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+")), "")
     return F.array_distinct(F.transform(found, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - SLOT_BITS)))
 
 
@@ -46,30 +48,32 @@ def lexicon(docs: DataFrame) -> Column:
 
 
 def known(text: Column, bitmap: Column) -> Column:
-    """Sorted distinct terms of a text that the lexicon has, each with a digest."""
+    """Sorted distinct terms of a text that the lexicon has."""
 
     def inside(s: Column) -> Column:
         byte = F.ascii(F.substring(bitmap, (s / 7).cast("int") + 1, F.lit(1)).cast("string"))
         return F.call_function("shiftright", byte, (s % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    return F.transform(F.array_sort(F.filter(terms(text), inside)), lambda s: F.struct(s.alias("s"), F.xxhash64(s).alias("h")))
+    return F.array_sort(F.filter(terms(text), inside))
 
 
 def fingerprint(own: Column) -> Column:
     """Array of one hash for each subset, of the ``known`` terms that it keeps; null where it keeps none.
 
     Each of ``DRAWS`` random digests of a term thins the lexicon out in steps, so a subset holds the next.
+    The densest subsets are for documents of at most ``FEW`` terms: in others no edit would leave them whole.
     """
-    masks = F.array(*(F.lit((1 << e) - 1).cast("long") for e in RATES))
+    masks = F.array(*(F.lit((1 << e) - 1).cast("long") for e in RATES[1:]))
     start = F.struct(own.alias("own"), F.array().cast("array<int>").alias("out"))
-    of = lambda s: F.hash(F.transform(s["own"], lambda t: t["s"]))
+    drawn = lambda terms, k, mask: F.filter(terms, lambda s: F.xxhash64(s, k).bitwiseAND(mask) == 0)
 
     def one(k: Column) -> Column:
         def step(s: Column, mask: Column) -> Column:
-            mine = F.filter(s["own"], lambda t: F.xxhash64(t["h"], k).bitwiseAND(mask) == 0)
-            return F.struct(mine.alias("own"), F.concat(s["out"], F.array(of(s))).alias("out"))
+            before = F.when(F.size(s["out"]) > 0, F.hash(s["own"]))  # of all terms it is not needed
+            return F.struct(drawn(s["own"], k, mask).alias("own"), F.concat(s["out"], F.array(before)).alias("out"))
 
-        return F.aggregate(masks, start, step, lambda s: F.slice(F.concat(s["out"], F.array(of(s))), 2, len(RATES)))
+        thin = F.aggregate(masks, start, step, lambda s: F.slice(F.concat(s["out"], F.array(F.hash(s["own"]))), 2, len(RATES) - 1))
+        return F.concat(F.array(F.when(F.size(own) <= FEW, F.hash(drawn(own, k, F.lit((1 << RATES[0]) - 1).cast("long"))))), thin)
 
     empty = F.hash(F.array().cast("array<bigint>"))
     return F.transform(F.flatten(F.transform(F.array(*(F.lit(k) for k in range(DRAWS))), one)), lambda h: F.nullif(h, empty))
