@@ -49,7 +49,7 @@ class Scratch:
 
 
 #: Slots of the filter below; it stays this large whatever the number of ids.
-FILTER_SLOTS = 7 << 20
+FILTER_SLOTS = 7 << 17
 
 
 def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
