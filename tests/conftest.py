@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from graphloom.session import local_session
 
-    session = local_session("tests", cpus=4, partitions=4)
+    session = local_session("tests", cpus=2, partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
