@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node knows one smaller node at most, and none that is known itself knows another."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("knows"), F.lit(0).alias("known")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("knows"), F.lit(1).alias("known")))
+    seen = ends.groupBy("x").agg(F.sum("knows").alias("knows"), F.max("known").alias("known"))
+    return seen.where("knows > 1 or knows = 1 and known = 1").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,19 +37,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """The component of each node of ``edges`` (``u``, ``v``: long): ``node``, ``component``, its least node.
 
-    Rounds repeat until the edges stay as they are; their number grows with the logarithm of the
-    longest path. Only counts reach the driver; each round's edges are cut from their lineage.
+    Rounds repeat until the edges are stars; their number grows with the logarithm of the longest path.
+    Nothing but that answer reaches the driver; each round's edges are cut from their lineage.
     """
     edges = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
     for _ in range(rounds):
-        if not before[0]:
+        if _stars(edges):
             break
         edges = cut(_star(_star(edges, large=True), large=False))
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
