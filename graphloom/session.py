@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """``df`` kept for the steps that read it again, spilling to disk; what a lost executor held is computed anew.
+    """``df`` computed once for the steps that read it again, kept in the folder that all executors share.
 
-    Iterative plans use it so that each step's plan stays small. ``spark.catalog.clearCache()`` lets go.
+    Iterative plans use it, so that each step's plan begins there and stays small. The folder is the one
+    in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one takes its place.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
