@@ -110,14 +110,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last half of the code points (rounded down) replaced by the first as many of
     the next document's text, in ascending order of ``doc_id``, after the last the first. Returns
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``
-    and ``near_next``. Null texts are empty; rows without a ``doc_id`` come first; rows of one ``doc_id``
+    and ``near_next``. Null texts are empty; rows without a ``doc_id`` (or with the
+    least long there is, which stands for none) come first; rows of one ``doc_id``
     follow by a hash of the text, and equal rows count as one document of which each row has the result.
     A single document is its own next. An empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # Two digests of the text tell the rows of one doc_id apart.
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("h"))
+    # A digest of the text tells the rows of one doc_id apart. Both joins below take the same columns, so
+    # that the texts are shuffled once; the id is had back from the key, whose least value stands for null.
+    keyed = docs.select("text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("h"))
     keys = cut(keyed.select("k", "h", F.length("text").cast("long").alias("n")).groupBy("k", "h").agg(F.first("n").alias("n"), F.count("*").alias("rows")))
     repeats = keys.where("rows > 1").limit(1).count() > 0
     order = cut(successors(keys.select("k", "h", "n")))
@@ -129,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         tails = tails.dropDuplicates(["k", "h"])
     whole = keyed.join(tails, ["k", "h"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.col("tail"))
-    whole = whole.select("doc_id", "k", "h", "n_chars", "text", edited.alias("edited"))
+    whole = whole.select(F.nullif(F.col("k"), F.lit(_FIRST)).alias("doc_id"), "k", "h", "n_chars", "text", edited.alias("edited"))
     # In steps: an expression that is used more than once is a column of its own.
     printed = whole.select(
         "doc_id", "k", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), (F.col("text") == F.col("edited")).alias("same"),
