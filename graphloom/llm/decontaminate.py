@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The benchmark is worked off in blocks of bounded size, each held by every task; the corpus is read
-where it lies and never shuffled. A first pass counts in how many documents each n-gram of the block
-occurs, over the whole corpus; the rarer half of each item's n-grams are its seeds, whatever their
-counts, so an item that leaked into very many documents keeps its seeds. A second pass aligns the
-item with the words around each run of seed hits.
+once for each block, where it lies, and never shuffled. All n-grams of an item are its seeds: which of
+them an edited or partial copy still has can't be known from counts over the corpus. The item is
+aligned with the words around each run of seed hits, unless it has too few words in common with them.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Scratch
 from graphloom.llm.words import groups, shingles, words
 
-#: Words of a seed, and the share of an item's n-grams that are seeds.
-SEED_WORDS, RARE_SHARE = 3, 0.5
+#: Words of a seed.
+SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of an item's best possible alignment score from which a passage counts as a copy.
 LEAST_SCORE = 0.5
@@ -38,7 +37,7 @@ _words = functools.partial(words, space=_SEPARATES)
 
 @dataclass
 class Block:
-    """Items of the benchmark, ready to be looked up: word hashes of each, and its n-grams or seeds."""
+    """Items of the benchmark, ready to be looked up: word hashes of each, and its n-grams, the seeds."""
 
     ids: list
     items: list[np.ndarray]
@@ -60,8 +59,8 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
 
 
-def make_block(rows: list, counts: dict[int, int] | None = None) -> Block:
-    """From ``item_id``, ``text`` rows. With document counts by gram, only each item's rarer grams."""
+def make_block(rows: list) -> Block:
+    """From ``item_id``, ``text`` rows."""
     column = _lowered(pa.array([r["text"] or "" for r in rows], pa.string()))
     items, keys, item, place = [], [], [], []
     for _, data, offsets in groups(column):
@@ -71,9 +70,6 @@ def make_block(rows: list, counts: dict[int, int] | None = None) -> Block:
             k = len(items)
             items.append(hashes[a:b])
             own = np.flatnonzero(whole[a:b])
-            if counts is not None and len(own):
-                order = sorted(own.tolist(), key=lambda p: (counts.get(int(values[a + p]), 0), p))
-                own = np.array(sorted(order[: max(1, -(-int(len(order) * RARE_SHARE * 2) // 2))]))
             keys.append(values[a:b][own])
             item.append(np.full(len(own), k))
             place.append(own)
@@ -98,21 +94,6 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _count(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(block.grams), np.int64)
-    for batch in batches:
-        for _, data, offsets in groups(_lowered(batch.column("text"))):
-            hashes, _, _, rows = _words(data, offsets)
-            values, whole = shingles(hashes, rows, SEED_WORDS)
-            at, gram = block.found(values)
-            at, gram = at[whole[at]], gram[whole[at]]
-            doc = np.searchsorted(rows, at, side="right") - 1
-            once = np.unique(doc * len(block.grams) + gram) % max(1, len(block.grams))
-            total += np.bincount(once, minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(block.grams[some].view(np.int64)), pa.array(total[some])], names=["gram", "df"])
-
-
 def _passages(at: np.ndarray, reach: int, n: int) -> Iterator[tuple[int, int, int, int]]:
     """Runs of hits less than ``reach`` apart: first and last hit, and the words around them to align."""
     breaks = np.flatnonzero(np.diff(at) > reach) + 1
@@ -145,6 +126,9 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
                 goal = block.items[k]
                 reach = len(goal) + SEED_WORDS
                 for x, y, a, b in _passages(at[own] - low, reach, high - low):
+                    # A word of the item that the passage lacks can't match, so this many bound the score.
+                    if MATCH * np.count_nonzero(np.isin(goal, text[a:b])) < max(LEAST_SCORE * MATCH * len(goal), best[0]):
+                        continue
                     score, stop = align(goal, text[a:b])
                     if score > best[0]:
                         best = (score, a, a + stop, len(np.unique(spot[own[x:y]])))
@@ -181,10 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], _FOUND)
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = make_block(rows)
-        counted = docs.select("text").mapInArrow(lambda it, b=block: _count(it, b), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        counts = {r["gram"] & ((1 << 64) - 1): r["df"] for r in counted.collect()}  # no more than the block has grams
-        seeds = make_block(rows, counts)
+        seeds = make_block(rows)
         found = docs.mapInArrow(lambda it, b=seeds: _search(it, b), _FOUND)
         out = found if k == 0 else out.unionByName(found)
     return out

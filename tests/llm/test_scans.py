@@ -67,6 +67,21 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, bench).collect()} == whole
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    """Where an item's only copies are edited or partial, the n-grams that are left find them, whatever their counts."""
+    items = [(i, prose(30)) for i in range(6)]
+    edited = lambda i: " ".join("new" if k % 5 == 2 else w for k, w in enumerate(items[i][1].split()))
+    first, last = (lambda i: " ".join(items[i][1].split()[:16])), (lambda i: " ".join(items[i][1].split()[14:]))
+    copies = [edited(0), edited(1), first(2), last(3), first(4), last(4), *[last(4)] * 20]
+    docs = [(k, f"{prose(40)} {copy} {prose(40)}") for k, copy in enumerate(copies)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()}
+    want = {(d, i): smith_waterman(tokens(item), tokens(text)) / 60 for d, text in docs for i, item in items}
+    want = {k: x for k, x in want.items() if x >= decontaminate.LEAST_SCORE}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3)} | {(k, 4) for k in range(4, 26)} <= set(want)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_decontamination_of_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "a b a b a b a")], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.contaminated(odd, bench).collect()} == {8}
