@@ -6,8 +6,8 @@ a subset are hashed. Two documents are alike to the degree that their hashes agr
 which either has a term. Subsets are drawn at several rates, so short and long texts both find some of
 which a partial edit changes no term.
 
-Terms are counted in ``2 ** SLOT_BITS`` hash slots, over all documents; the frequency of a term is that of its
-slot. So the lexicon is a bitmap of fixed size whatever the vocabulary, a constant of the plan, and a
+Terms are counted in ``2 ** SLOT_BITS`` hash slots, over all distinct texts, so that copies don't push a text's own
+terms out of the band; the frequency of a term is that of its slot. So the lexicon is a bitmap of fixed size whatever the vocabulary, a constant of the plan, and a
 document's terms are looked up in its own row.
 """
 
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, parallelism
+from graphloom.llm.common import cut, id_filter, parallelism
 
 SLOT_BITS = 20
-#: Share of documents that a term of the lexicon is in, at least and at most.
+#: Share of distinct texts that a term of the lexicon is in, at least and at most.
 LOW, HIGH = 0.0005, 0.05
 #: Subsets keep one term of 2 ** e; so many are drawn of each rate.
 RATES, DRAWS = (1, 3, 5, 7, 9), 16
@@ -36,10 +36,18 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> Column:
-    """The slots within the band, seven to a byte: a binary of fixed length (the eighth bit stays 0)."""
-    n = docs.count()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("slot")).groupBy("slot").count()
-    band = counts.where((F.col("count") >= LOW * n) & (F.col("count") <= HIGH * n))
+    """The slots within the band, seven to a byte: a binary of fixed length (the eighth bit stays 0).
+
+    Frequencies are those over distinct texts; a term of a single one is in the band however few they are.
+    """
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    copies = cut(hashed.groupBy("h").agg(F.count("*").alias("rows")))
+    n = copies.count()
+    repeated = id_filter(copies.where("rows > 1"), "h")(F.col("h"))
+    # Only texts that may have copies are shuffled to be told apart.
+    texts = hashed.where(~repeated).select("text").unionByName(hashed.where(repeated).groupBy("h").agg(F.first("text").alias("text")).select("text"))
+    counts = texts.select(F.explode(terms(F.col("text"))).alias("slot")).groupBy("slot").count()
+    band = counts.where((F.col("count") >= LOW * n) & (F.col("count") <= max(1.0, HIGH * n)))
     bits = F.bit_or(F.expr("shiftleft(1, int(slot % 7))")).alias("bits")
     bitmap = bytearray((1 << SLOT_BITS) // 7 + 1)
     for row in band.groupBy(F.expr("int(slot div 7)").alias("at")).agg(bits).toLocalIterator():  # no more rows than bytes

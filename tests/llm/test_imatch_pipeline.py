@@ -39,6 +39,25 @@ def test_band(spark):
     assert rows[100] != rows[101]
 
 
+def test_band_counts_distinct_texts(spark):
+    """Texts that are a third of all rows each keep their terms, and their near copies are recognised."""
+    many = [" ".join(f"{c}{i}" for i in range(60)) for c in "pq"]
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(50))) for i in range(40)]
+    docs += [(100 + i, many[i % 2]) for i in range(80)] + [(200, many[0] + " tail"), (201, " ".join(many[0].split()[:57]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"]: r["n"] for r in df.select("doc_id", F.size(imatch.known(F.col("text"), imatch.lexicon(df))).alias("n")).collect()}
+    rows = {r["doc_id"]: r for r in imatch.fingerprints(df).collect()}
+    # Of 44 distinct texts a term may be in two: the last word of many[0] is in it and in one near copy.
+    assert kept[101] == 60 and kept[100] == 3 and len({rows[d]["fingerprint"] for d in (100, 101)}) == 2
+    assert set(rows[101]["fingerprint"]) > set("-.") and rows[101]["near_edited"] > 0
+    assert {rows[100 + i]["fingerprint"] for i in range(0, 80, 2)} == {rows[100]["fingerprint"]}
+
+
+def test_band_of_few_rows(spark):
+    df = spark.createDataFrame([(i, f"common own{i} self{i}") for i in range(5)], "doc_id long, text string")
+    assert {r["n"] for r in df.select(F.size(imatch.known(F.col("text"), imatch.lexicon(df))).alias("n")).collect()} == {2}
+
+
 def test_odd_rows(odd, nothing):
     rows = imatch.fingerprints(odd).collect()
     assert len(rows) == odd.count()
