@@ -34,6 +34,9 @@ INLINE = frozenset(
 )
 #: Elements in which the search for the main container goes down.
 CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
+#: Elements that say that they are the main text, and those that hold text where they stand beside containers.
+WHOLE = frozenset("article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: What an opening tag ends, besides what lies between.
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -53,6 +56,7 @@ MAIN = frozenset("article main content post entry story body text page".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -161,18 +165,34 @@ def weigh(node: Node, weights: dict[int, float], linked: bool = False) -> float:
     return weights[id(node)]
 
 
+def _beside(node: Node, child: Node, weights: dict[int, float]) -> bool:
+    """Whether ``node`` has headings, paragraphs or words of its own outside ``child``, other than links."""
+    for c in node.children:
+        if isinstance(c, str):
+            if _WORD.search(c):
+                return True
+        elif c is not child and c.tag in PROSE and not c.aside and weights[id(c)] > 0.5 * len(text_of([c])):
+            return True
+    return False
+
+
 def best(root: Node) -> tuple[Node, float]:
-    """The smallest container that holds most of what is above it."""
+    """The smallest container that holds most of what is above it, and never a part of an article.
+
+    The search ends at an article or main element, and where going down would leave prose behind; but it
+    does go down to an article or main element, which says itself that it is the text.
+    """
     weights: dict[int, float] = {}
     weigh(root, weights)
     node = root
-    while True:
+    while node.tag not in WHOLE:
         inner = [c for c in node.children if not isinstance(c, str) and not c.aside and c.tag in CONTAINERS]
         child = max(inner, key=lambda c: weights[id(c)], default=None)
         total = weights[id(node)] / node.boost
-        if child is None or not total or weights[id(child)] < HOLDS * total:
-            return node, weights[id(node)]
+        if child is None or not total or weights[id(child)] < HOLDS * total or child.tag not in WHOLE and _beside(node, child, weights):
+            break
         node = child
+    return node, weights[id(node)]
 
 
 def matching(root: Node, path: str) -> list[Node]:

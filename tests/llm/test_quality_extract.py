@@ -87,5 +87,23 @@ def test_extraction(spark):
     assert got[2]["host"] == "a.org" and got[6]["host"] == ""
 
 
+def test_extraction_keeps_the_whole_article(spark):
+    """A dominant part of an article is not taken for the article; a box beside it is no part of it."""
+    most, rest = "<p>" + "most of the words stand here " * 20 + "</p>", "<p>" + "the rest stands here " * 8 + "</p>"
+    words = lambda p: p[3:-4].strip()
+    whole = ["T", "lead", words(most), words(rest)]
+    cases = [
+        (f"<article><h1>T</h1><p>lead</p><section class='a'>{most}</section><section class='b'>{rest}</section></article>", whole),
+        (f"<article><h1>T</h1><p>lead</p><div class='entry-content'>{most}</div><div>{rest}</div></article>", whole),
+        (f"<main><h1>T</h1><p>lead</p><table><tr><td>{most}</table><div>{rest}</div></main>", whole),
+        (f"<div class='x'><h1>T</h1>lead<div class='body'>{most}</div>{rest}</div>", whole),
+        (f"<p>Some word of the site.</p><article>{most}</article><div class='box'>{rest}</div>", whole[2:3]),
+        (f"<div class='wrap'><a href=x>skip this</a><div class='y'>{most}</div></div><div class='box'>{rest}</div>", whole[2:3]),
+    ]
+    rows = [(10 * k + i, f"https://h{k}.org/{i}", page(main)) for k, (main, _) in enumerate(cases) for i in range(3)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: want for k, (_, want) in enumerate(cases) for i in range(3)}
+
+
 def test_extraction_of_nothing(spark):
     assert extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
