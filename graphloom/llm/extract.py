@@ -52,6 +52,10 @@ ASIDE = frozenset(
 )
 #: Words in a class, id or role that mark the main text.
 MAIN = frozenset("article main content post entry story body text page".split())
+#: Words that make a class a remark on the state of the page: has-sidebar and comments-open are no sidebar and no comments.
+STATE = frozenset("has have no not with without open opened closed enabled disabled".split())
+#: Part of what would otherwise be kept of a page that an element holds which no name of an aside can drop.
+NEARLY_ALL = 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -61,10 +65,11 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "aside", "boost")
+    __slots__ = ("tag", "names", "parent", "children", "aside", "named", "good", "boost")
 
-    def __init__(self, tag: str, parent: Node | None, names: str = "", aside: bool = False, boost: float = 1.0):
-        self.tag, self.parent, self.names, self.aside, self.boost, self.children = tag, parent, names, aside, boost, []
+    def __init__(self, tag: str, parent: Node | None, names: str = "", aside: bool = False, named: bool = False, good: bool = False, boost: float = 1.0):
+        self.tag, self.parent, self.names, self.boost, self.children = tag, parent, names, boost, []
+        self.aside, self.named, self.good = aside or named, named and not aside, good  # named: dropped for its names alone
 
     def path(self) -> str:
         out, node = [], self
@@ -80,24 +85,69 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
         for name, a, b, c in _NAMES.findall(attributes):
             found.setdefault(name.lower(), a or b or c)
     if not found:
-        return Node(tag, parent, aside=tag in DROPPED or tag == "header" and not _in_article(parent), boost={"article": 3.0, "main": 2.5}.get(tag, 1.0))
-    said = {w for key in ("class", "id", "role") for part in re.split(r"[^A-Za-z0-9]+", found.get(key, "")) for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()) if w}
-    good = bool(said & MAIN) or tag in ("article", "main")
-    aside = tag in DROPPED or tag == "header" and not _in_article(parent) or bool(said & ASIDE) and not (tag in ("body", "html", "main") or found.get("role") == "main")
+        return Node(tag, parent, aside=tag in DROPPED or tag == "header" and not _in_article(parent), good=tag in WHOLE, boost={"article": 3.0, "main": 2.5}.get(tag, 1.0))
+    parts = [{w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()) if w} for key in ("class", "id", "role") for part in found.get(key, "").split()]
+    good = any(p & MAIN for p in parts) or tag in WHOLE
+    # A name of an aside counts unless the element says otherwise: by its tag, by a name of the main text, or as a mere state.
+    sure = any(p & MAIN and not p & ASIDE for p in parts) or tag == "article" and not _in_article(parent, ("article",))
+    spared = sure or tag in ("body", "html", "main") or found.get("role") == "main"
+    told = found.get("role", "").lower() in ASIDE or {"hidden"} in parts
+    named = told and tag not in ("body", "html", "main") or not spared and any(p & ASIDE and not p & STATE for p in parts)
+    aside = tag in DROPPED or tag == "header" and not _in_article(parent)
     aside = aside or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
     names = " ".join(sorted(re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()))
-    return Node(tag, parent, names, aside, {"article": 3.0, "main": 2.5}.get(tag, 1.5 if good else 1.0))
+    return Node(tag, parent, names, aside, named, sure or tag in WHOLE, {"article": 3.0, "main": 2.5}.get(tag, 1.5 if good else 1.0))
 
 
-def _in_article(node: Node | None) -> bool:
+def _in_article(node: Node | None, tags: tuple = ("article", "main")) -> bool:
     while node is not None:
-        if node.tag in ("article", "main"):
+        if node.tag in tags:
             return True
         node = node.parent
     return False
 
 
+def _spare(root: Node) -> None:
+    """No aside is what, for its names alone, would be dropped with prose that is nearly all text of a page.
+
+    The names stand where an element elsewhere says that it is the main text, and has some.
+    """
+    while True:
+        order, stack = [], [(root, False, False)]
+        while stack:
+            n, lost, link = stack.pop()
+            order.append((n, lost, link))
+            if not n.aside or n.named:
+                stack += [(c, lost or n.aside, link or c.tag == "a") for c in n.children if not isinstance(c, str)]
+        held, kept, prose = {}, {}, set()  # letters in all and without asides, those in links counting little
+        for n, _, link in reversed(order):
+            below = [c for c in n.children if not isinstance(c, str) and id(c) in held]
+            own = sum(len(c.strip()) for c in n.children if isinstance(c, str)) * (0.1 if link else 1.0)
+            dropped = n.aside and not n.named
+            held[id(n)] = 0.0 if dropped else own + sum(held[id(c)] for c in below)
+            kept[id(n)] = 0.0 if n.aside else own + sum(kept[id(c)] for c in below)
+            if not dropped and (n.tag in PROSE and own or any(id(c) in prose for c in below)):
+                prose.add(id(n))
+        left = kept[id(root)]
+        able = [n for n, lost, _ in order if n.named and n.aside and not lost and id(n) in prose and held[id(n)] >= NEARLY_ALL * (held[id(n)] + left)]
+        spared = max(able, key=lambda n: held[id(n)], default=None)
+        above, up = set(), spared
+        while up is not None:
+            above.add(id(up))
+            up = up.parent
+        if spared is None or any(n.good and kept[id(n)] and not lost and id(n) not in above for n, lost, _ in order):
+            return
+        spared.aside = spared.named = False
+
+
 def parse(page: str) -> Node:
+    """A tree of elements and strings, asides marked."""
+    root = _tree(page)
+    _spare(root)
+    return root
+
+
+def _tree(page: str) -> Node:
     """A tree of elements and strings; tags left open end where their parent does."""
     root = node = Node("", None)
     at = 0

@@ -105,5 +105,18 @@ def test_extraction_keeps_the_whole_article(spark):
     assert got == {10 * k + i: want for k, (_, want) in enumerate(cases) for i in range(3)}
 
 
+def test_extraction_heeds_what_names_say_of_the_page(spark):
+    """Names of asides don't drop the article, nor what wraps nearly all text; true asides stay out."""
+    text, some = "<h1>T</h1><p>" + "words of the article " * 20 + "</p>", "<p>said beside it</p>"
+    cases = [f"<article class='post comments-open'>{text}</article>", f"<div class='content has-sidebar'>{text}</div>", f"<div class='page no-sidebar'>{text}</div>", f"<article class='social-story'>{text}</article>"]
+    cases += [f"<div class='has-sidebar'>{text}<div class='sidebar'>{some}</div></div>", f"<div class='comments-open'>{text}<div id='comments'>{some}</div></div>", f"<div class='print-layout'><div id='search-view'>{text}</div></div>"]
+    cases += [f"<div class='story legal'>{text}</div><div class='sidebar-content'>{some * 40}</div>", f"<article>{text}<article class='comment'>{some}</article></article><div class='related-posts'>{some * 90}</div>"]
+    cases += [f"<div class='content'>{text}</div><div class='text' role='complementary'>{some}</div>"]
+    rows = [(k, f"https://h{k}.org/", page(main)) for k, main in enumerate(cases)] + [(99, "https://x.org", page("<article></article>"))]
+    got = {r["page_id"]: r["text"] for r in extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "T\n" + ("words of the article " * 20).strip()
+    assert got == {k: want for k in range(len(cases))} | {99: ""}
+
+
 def test_extraction_of_nothing(spark):
     assert extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
