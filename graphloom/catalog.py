@@ -172,7 +172,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     uses="nodes",
 )
 def node_vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    vecs = table(spark, d, "embeddings").where(F.col("vec_id") < rel.VECTORS).select(F.concat(F.lit("S:"), F.col("vec_id").cast("string")).alias("node_id"), "embedding")
+    vecs = table(spark, d, "embeddings").select(F.concat(F.lit("S:"), F.col("vec_id").cast("string")).alias("node_id"), "embedding")
     rows = rel.nodes(spark, d).join(vecs, "node_id")
     return vectors.nearest(rows, vectors.literal(rel.query_vector(spark, d, 5)), 5, "node_id").select("node_id", "content", F.round("similarity", 6).alias("similarity"))
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.session import table
 
-#: Vectors of chunks repeat after so many documents, as the smallest data set has no more.
-VECTORS = 500
-
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with tenant (language), namespace (source) and metadata."""
@@ -25,9 +22,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
-    vecs = table(spark, d, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", "embedding")
-    out = chunks(spark, d).withColumn("vec_id", F.col("doc_id") % VECTORS)
-    return out.join(F.broadcast(vecs), "vec_id")  # VECTORS rows at most
+    """Chunks with the vectors of their documents; where there are more documents than vectors, these repeat in turn."""
+    vecs = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = vecs.count()
+    out = chunks(spark, d).withColumn("vec_id", F.expr(f"doc_id % nullif({n}, 0)"))
+    return out.join(vecs, "vec_id")
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:

@@ -289,3 +289,22 @@ def test_streaming(spark, tmp_path):
     run = ingest.ingest(ingest.documents(spark, f"file://{tmp_path}/in"), store.tenant("t"), "ns", Provider(4), f"file://{tmp_path}/cp")
     run.awaitTermination(120)
     assert store.tenant("t").scan("nodes", "ns").count() == 2
+
+
+def test_vectors_of_all_nodes_and_chunks(spark, tmp_path):
+    """Every vector there is takes part, however many: suppliers and documents from 500 on too."""
+    from graphloom import catalog
+
+    vec = lambda i: [1.0, 0.0] if i in (0, 5) else [1.0, 0.001] if i >= 697 else [1.0, 1.0 + i]
+    tables = {
+        "embeddings": ([(i, vec(i)) for i in range(700)], "vec_id long, embedding array<float>"),
+        "supplier": ([(i, f"s{i}") for i in range(700)], "s_suppkey long, s_name string"),
+        "documents": ([(i, f"text {i}", "en", "s") for i in range(1400)], "doc_id long, text string, lang string, source string"),
+    } | {name: ([], f"{k}_{name}key long, {k}_name string") for k, name in (("r", "region"), ("n", "nation"))}
+    tables |= {"customer": ([], "c_custkey long, c_name string"), "part": ([], "p_partkey long, p_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r["node_id"] for r in catalog.QUERIES["node_vector_topk"](spark, str(tmp_path)).collect()} == {"S:0", "S:5", "S:697", "S:698", "S:699"}
+    near = {f"{i}:0" for i in (0, 5, 697, 698, 699, 700, 705, 1397, 1398, 1399)}
+    assert {r["chunk_id"] for r in catalog.QUERIES["semantic_chunks"](spark, str(tmp_path)).collect() if r["sem_rank"] <= 10} == near
+    assert {r["chunk_id"] for r in catalog.QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect()} == near
