@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 WS = r"[\x20\x09-\x0D]+"
@@ -17,12 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (local tests) a temporary folder takes its place.
+    Only a local master (tests) may do without: a temporary folder takes its place.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -48,30 +54,34 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Slots of the filter below; it stays this large whatever the number of ids.
-FILTER_SLOTS = 7 << 17
+#: Bytes of an Arrow batch at most, whatever the rows: a task holds a few batches at once.
+BATCH_BYTES = 4 << 20
 
 
-def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A condition that holds for each id (long) in ``ids``, and for few others while they are few.
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, in batches of bounded bytes. At its end a task gives its memory back to the system.
 
-    Seven hash slots to a byte, in a constant of fixed size: a cheap way to leave most rows out before
-    a shuffle join decides exactly. With very many ids it lets all rows pass.
+    The bound is the session's own setting, lowered here where it is larger.
     """
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_SLOTS))
-    bits = F.bit_or(F.expr("shiftleft(1, int(slot % 7))")).alias("bits")
-    rows = ids.select(slot.alias("slot")).groupBy(F.expr("int(slot div 7)").alias("at")).agg(bits)
-    bitmap = bytearray(FILTER_SLOTS // 7 + 1)
-    for row in rows.toLocalIterator():  # no more rows than bytes
-        bitmap[row["at"]] = row["bits"]
-    known = F.lit(bytes(bitmap))
-
-    def may(own: Column) -> Column:
-        at = F.pmod(F.xxhash64(own.cast("long")), F.lit(FILTER_SLOTS))
-        byte = F.ascii(F.substring(known, (at / 7).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftright", byte, (at % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return may
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -18,8 +18,8 @@ def _stars(edges: DataFrame) -> bool:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hands the smallest node it knows to its larger (large) or smaller (small) neighbours.
 
-    The least neighbour is an aggregate with map-side combine and the hand-over a join, so that a
-    node with very many neighbours is never gathered in one task.
+    The least neighbour is an aggregate with map-side combine. The hand-over is a join of the edges with
+    one row for each node, so the edges of a node with very many can be split over tasks (adaptive skew join).
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch
+from graphloom.llm.common import Scratch, in_arrow
 from graphloom.llm.words import groups, shingles, words
 
 #: Words of a seed.
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         seeds = make_block(rows)
-        found = docs.mapInArrow(lambda it, b=seeds: _search(it, b), _FOUND)
+        found = in_arrow(docs, lambda it, b=seeds: _search(it, b), _FOUND)
         out = found if k == 0 else out.unionByName(found)
     return out
 

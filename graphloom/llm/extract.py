@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch
+from graphloom.llm.common import Scratch, in_arrow
 
 #: Share of a host's votes from which a path counts as agreed on; so a host has at most 1 / SHARE paths.
 SHARE = 0.05
@@ -323,10 +323,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string, weight double")
+    votes = in_arrow(pages.select("host", "html"), _vote, "host string, path string, weight double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("weight")).alias("weight"))
     own = Window.partitionBy("host")
     agreed = counted.withColumn("all", F.sum("votes").over(own)).where(F.col("votes") >= SHARE * F.col("all"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("weight")).alias("w"), "path")))
     agreed = Scratch(pages.sparkSession).table(agreed.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths")), "paths")
-    return pages.join(agreed, "host", "left").select("page_id", "url", "html", "host", "paths").mapInArrow(_again, "page_id long, url string, text string, n_chars long, host string")
+    return in_arrow(pages.join(agreed, "host", "left").select("page_id", "url", "html", "host", "paths"), _again, "page_id long, url string, text string, n_chars long, host string")

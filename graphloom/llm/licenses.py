@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import in_arrow
 from graphloom.llm.words import groups, shingles, words
 
 #: Words of a shingle. Notices of three words are templates, so shingles are no longer than that.
@@ -175,4 +176,4 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
     templates = TEMPLATES if templates is None else templates
     classes, licenses = grouped(templates), {name: license_id for name, (license_id, _) in templates.items()}
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda it: _scan(it, classes, licenses), "doc_id long, license_id string, template string, containment double, passages long, start long, stop long")
+    return in_arrow(slim, lambda it: _scan(it, classes, licenses), "doc_id long, license_id string, template string, containment double, passages long, start long, stop long")

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, cut, id_filter, parallelism
+from graphloom.llm.common import Scratch, cut, in_arrow, parallelism
 from graphloom.llm.components import components
-from graphloom.llm.words import groups, mix, row_sets, words
+from graphloom.llm.words import column_bytes, groups, mix, row_sets, words
 
 SHINGLE = 5
 #: Linked: PERCENT times the union is at most 100 times the intersection.
@@ -80,8 +80,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours in a sorted partition that share tree and first long, their region.
 
     ``kind`` 0: a pair (a, b), no more than ``REACH`` apart in a small region, ``NEAR`` in a crowded
-    one. 1: a row at a partition's edge, to be paired over the edge. 2: the region (a: tree, b: first
-    long) is crowded: not all its rows have met.
+    one. 1: a row at a partition's edge, to be paired over the edge (b: its second long). 2: a class of a
+    crowded region, not all of which have met; a region over an edge has its rows named on one side or the other.
     """
     held, ahead, head_left = None, 0, REACH + 1
 
@@ -102,8 +102,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero((after[:done] >= d) & (~crowded[:done] | (d <= NEAR)))
             a, b = node[at], node[at + d]
             out.append(_rows(0, np.minimum(a, b), np.maximum(a, b)))
-        some = np.unique(np.stack([tree[:done][crowded[:done]].astype(np.int64), hi[:done][crowded[:done]]]), axis=1)
-        out.append(_rows(2, some[0], some[1]))
+        some = np.flatnonzero(crowded[:done])
+        out.append(_rows(2, node[some], node[some], tree[some], hi[some]))
         return out, before
 
     for batch in batches:
@@ -171,11 +171,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        (x, xs), (y, ys) = (column_bytes(batch.column(c)) for c in ("xa", "xb"))
         keep = []
-        for k, (x, y) in enumerate(zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+        for k, (xa, xb, ya, yb) in enumerate(zip(xs[:-1].tolist(), xs[1:].tolist(), ys[:-1].tolist(), ys[1:].tolist(), strict=True)):
+            # Of the smaller set's shingles, those that the larger one has; both are sorted.
+            own, other = sorted((np.frombuffer(x[xa:xb], np.uint64), np.frombuffer(y[ya:yb], np.uint64)), key=len)
+            at = np.minimum(np.searchsorted(other, own), max(len(other) - 1, 0))
+            both = int(np.count_nonzero(other[at] == own)) if len(own) else 0
+            if 100 * both >= PERCENT * (len(own) + len(other) - both):
                 keep.append(k)
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], names=["a", "b"])
 
@@ -184,7 +187,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough: ``a``, ``b``."""
     with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-    return with_b.select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long")
+    return in_arrow(with_b.select("a", "b", "xa", "xb"), _confirm, "a long, b long")
 
 
 def _with_components(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def crowded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     Sets of one shingle are dealt by size in steps of a twentieth and looked up only in the steps that
     this leaves: sets that share a frequent passage and no more don't all meet.
     """
-    rows = sets.mapInArrow(_prefixes, "node long, shingle long, n long")
+    rows = in_arrow(sets, _prefixes, "node long, shingle long, n long")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = rows.join(counts, "shingle", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("own"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0) + 1
@@ -260,48 +263,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(docs.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sign binary"), "signed")
+    signed = scratch.table(in_arrow(docs, _sign, "doc_id long, n_shingles long, h1 long, h2 long, sign binary"), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("sign", "doc_id").alias("sign")))
+    classes = scratch.table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by("sign", "doc_id").alias("sign")), "classes")
 
-    orders = classes.select("node", "sign").mapInArrow(_orders, "tree int, hi long, lo long, node long")
+    orders = in_arrow(classes.select("node", "sign"), _orders, "tree int, hi long, lo long, node long")
     keys = ["tree", "hi", "lo", "node"]
-    met = orders.repartitionByRange(parallelism(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, _PAIRS)
+    met = in_arrow(orders.repartitionByRange(parallelism(spark), *keys).sortWithinPartitions(*keys), _neighbours, _PAIRS)
     met = scratch.table(met, "met")
     edge = met.where("kind = 1").select("tree", "hi", F.col("b").alias("lo"), F.col("a").alias("node")).distinct()
-    over = edge.coalesce(1).sortWithinPartitions(*keys).mapInArrow(_neighbours, _PAIRS)
+    over = in_arrow(edge.coalesce(1).sortWithinPartitions(*keys), _neighbours, _PAIRS)  # a few rows of each partition
+    met = scratch.table(met.where("kind <> 1").unionByName(over.where("kind <> 1")), "all")
     # A document with several texts: its classes are linked by its id alone.
     same = named.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id")
     same = named.join(same, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     same = cut(same.where("u <> v").distinct())
 
-    pairs = met.where("kind = 0").select("a", "b").unionByName(over.where("kind = 0").select("a", "b")).where("a <> b").distinct()
+    pairs = met.where("kind = 0 and a <> b").select("a", "b").distinct()
     # Of each value one byte is enough to compare pairs.
-    signs = classes.groupBy("node").agg(F.min_by("sign", "h1").alias("sign")).mapInArrow(_short, "node long, sign binary")
+    signs = in_arrow(classes.groupBy("node").agg(F.min_by("sign", "h1").alias("sign")), _short, "node long, sign binary")
     pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sb")), "b")
-    pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_equal, "a long, b long, equal int"), "pairs")
+    pairs = scratch.table(in_arrow(pairs.select("a", "b", "sa", "sb"), _equal, "a long, b long, equal int"), "pairs")
 
-    def shingled(nodes: DataFrame, name: str) -> DataFrame:
-        """The full sets of the classes ``nodes`` (``node``), from the text of one document of each."""
-        some = docs.where(id_filter(nodes, "node")(F.col("doc_id")))
-        own = some.join(nodes, some.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-        own = own.mapInArrow(_sets, "node long, h1 long, shingles binary")
-        return scratch.table(own.groupBy("node").agg(F.min_by("shingles", "h1").alias("shingles")), name)
+    # The full sets of all that may have to be confirmed, from the text of one document of each class:
+    # the texts meet the names of those classes once, and only their sets are kept.
+    crowd = met.where("kind = 2").select("tree", "hi", F.col("a").alias("node")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
+    own = docs.join(asked, docs.doc_id == asked.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+    sets = in_arrow(own, _sets, "node long, h1 long, shingles binary").groupBy("node").agg(F.min_by("shingles", "h1").alias("shingles"))
+    sets = scratch.table(sets, "sets")
 
-    sets = shingled(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
-    tried = cut(_best(pairs))
+    tried = scratch.table(_best(pairs), "tried")
     links = _linked(tried, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = cut(components(links.unionByName(same)))
     left = _with_components(pairs.join(tried, ["a", "b"], "left_anti"), found).where("ca <> cb")
     found = _joined(found, _linked(left, sets))
 
-    crowded = met.where("kind = 2").unionByName(over.where("kind = 2")).select(F.col("a").cast("int").alias("tree"), F.col("b").alias("hi")).distinct()
-    members = orders.join(crowded, ["tree", "hi"]).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    members = scratch.table(members.select("tree", "hi", "node", "c"), "members")
+    members = scratch.table(crowd.join(found, "node", "left").select("tree", "hi", "node", F.coalesce("component", "node").alias("c")), "members")
     open_regions = members.groupBy("tree", "hi").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    rest = cut(members.join(open_regions, ["tree", "hi"], "left_semi").select("node").distinct())
+    rest = scratch.table(members.join(open_regions, ["tree", "hi"], "left_semi").select("node").distinct(), "rest")
     if not rest.isEmpty():
-        rest_sets = shingled(rest, "rest")
+        rest_sets = scratch.table(sets.join(rest, "node", "left_semi"), "rest_sets")
         found = _joined(found, _linked(crowded_pairs(rest_sets, found), rest_sets))
 
     named_classes = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))

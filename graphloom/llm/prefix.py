@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from graphloom.llm.common import cut, parallelism
+from graphloom.llm.common import cut, in_arrow, parallelism
 
 
 def prefix_sums(df: DataFrame, order: list[str], values: list[str], group: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str], group: str |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(m, part, np.int32)), *columns], names=[*batch.schema.names, "_part", *(f"_local_{v}" for v in values)])
 
     schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), *(StructField(f"_local_{v}", LongType()) for v in values)])
-    placed = cut(df.repartitionByRange(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(local, schema))
+    placed = cut(in_arrow(df.repartitionByRange(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys), local, schema))
     by = [group, "_part"] if group else ["_part"]
     ahead = Window.partitionBy(group) if group else Window.partitionBy()
     ahead = ahead.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

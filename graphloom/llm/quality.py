@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import in_arrow
 from graphloom.llm.words import groups
 
 #: Bytes of a chunk and from one chunk to the next: neighbours share more than a filter's width.
@@ -201,7 +202,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fitted(docs, labels)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInArrow(lambda it, m=model: (b.select(["doc_id", "_score"]) for b in _score(it, m)), "doc_id long, _score double")
+    out = in_arrow(slim, lambda it, m=model: (b.select(["doc_id", "_score"]) for b in _score(it, m)), "doc_id long, _score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -216,4 +217,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             (out,) = _score(iter([own]), model)
             yield batch.filter(pa.array(out.column("_score").to_numpy() >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_arrow(docs, keep, docs.schema)

@@ -54,10 +54,32 @@ def groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, np.
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, its first and end byte, and where each row's words begin (one more than rows)."""
-    if not len(data):
+    """Hash of each word, its first and end byte, and where each row's words begin (one more than rows).
+
+    A group larger than ``GROUP_BYTES`` is one very long text (and short ones): it is worked off in pieces
+    that end at white space, so that only what is returned grows with it.
+    """
+    found, at = [], 0
+    while at < len(data):
+        to = min(at + 2 * GROUP_BYTES, len(data))
+        while to < len(data):  # the last white space before ``to``, or the first after it
+            gap = np.flatnonzero(space[data[at:to]])
+            if len(gap):
+                to = at + int(gap[-1]) + 1
+                break
+            to = min(to + GROUP_BYTES, len(data))
+        inner = offsets[(offsets > at) & (offsets < to)] - at
+        hashes, start, end = _words(data[at:to], np.concatenate([[0], inner, [to - at]]), space, lower)
+        found.append((hashes, start + at, end + at))
+        at = to
+    if not found:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    hashes, start, end = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, start, end, np.searchsorted(start, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -66,15 +88,14 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, low
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    rows = np.searchsorted(start, offsets)
     if not len(start):
-        return np.zeros(0, np.uint64), start, end, rows
+        return np.zeros(0, np.uint64), start, end
     length = end - start
     first = np.cumsum(length) - length
     inside = np.arange(int(length.sum())) - np.repeat(first, length)
     power = np.cumprod(np.full(int(length.max()), _POWER, np.uint64))
     spread = _BYTE[lower[data[solid]]] * power[inside]
-    return mix(np.add.reduceat(spread, first) + length.astype(np.uint64)), start, end, rows
+    return mix(np.add.reduceat(spread, first) + length.astype(np.uint64)), start, end
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
