@@ -1,14 +1,16 @@
 """I-Match fingerprints, by DataFrame functions alone.
 
-Terms outside a band of inverse document frequency are set aside; of the rest, each of several
-randomised subsets of the lexicon keeps its own, and the sorted distinct terms that a document has in
-a subset are hashed. Two documents are alike to the degree that their hashes agree, among subsets in
-which either has a term. Subsets are drawn at several rates, so short and long texts both find some of
-which a partial edit changes no term.
-
-Terms are counted in ``2 ** SLOT_BITS`` hash slots, over all distinct texts, so that copies don't push a text's own
-terms out of the band; the frequency of a term is that of its slot. So the lexicon is a bitmap of fixed size whatever the vocabulary, a constant of the plan, and a
-document's terms are looked up in its own row.
+Terms outside a band of inverse document frequency are set aside. Of the rest, each of several randomised
+subsets of the lexicon keeps its own, and the sorted distinct terms that a document has in a subset are
+hashed. A subset is an interval of the terms' 64-bit hashes, so a document's sorted terms fall into
+subsets by being cut at their borders. ``2 ** DRAW_BITS`` subsets are drawn at each of several rates: of
+a long text the sparse ones, of a short text the dense ones hold so few terms that a partial edit leaves
+many of them whole. Two documents are alike to the degree that their hashes agree.
+
+Document frequencies are exact and taken over distinct texts, so that copies don't push a text's own
+terms out of the band. A term of the lexicon is in a share ``LOW`` of the texts at least, so the lexicon
+has at most (mean distinct terms of a text) / ``LOW`` terms, however large the corpus: it is one value of
+that bounded size (about ten bytes for each term), in which each row looks its terms up.
 """
 
 from __future__ import annotations
@@ -18,98 +20,130 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, parallelism
 
-SLOT_BITS = 20
 #: Share of distinct texts that a term of the lexicon is in, at least and at most.
-LOW, HIGH = 0.0005, 0.05
-#: Subsets keep one term of 2 ** e; so many are drawn of each rate.
-RATES, DRAWS = (1, 3, 5, 7, 9), 16
-#: Terms of a document at most for which the densest subsets count.
-FEW = 32
+LOW, HIGH = 0.002, 0.1
+#: Subsets keep one term of 2 ** e; 2 ** DRAW_BITS are drawn at each rate, each within the one before.
+RATES, DRAW_BITS = (5, 8, 11), 5
+#: Subsets of a sparser rate that either document must have terms in for the rate to count.
+SEEN = 10
+#: Hashes of texts with copies that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+#: Blocks of successive documents for each shuffle partition.
+BLOCKS = 8
 
 _FIRST = -(1 << 63)
+_TAG = 10  # hexadecimal digits of a term's tag in the table below
 
 
 def terms(text: Column) -> Column:
-    """Slots of the distinct terms of a text: runs of ASCII letters and digits and all other characters, lower-cased."""
-    found = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+")), "")
-    return F.array_distinct(F.transform(found, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - SLOT_BITS)))
+    """Hashes of the distinct terms of a text: runs of ASCII letters and digits and all other characters, lower-cased.
 
+    The last bit is always set, which leaves even numbers for the borders between subsets.
+    """
+    found = F.array_distinct(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+"))
+    return F.transform(F.array_remove(found, ""), lambda w: F.xxhash64(w).bitwiseOR(F.lit(1).cast("long")))
 
-def lexicon(docs: DataFrame) -> Column:
-    """The slots within the band, seven to a byte: a binary of fixed length (the eighth bit stays 0).
 
-    Frequencies are those over distinct texts; a term of a single one is in the band however few they are.
-    """
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Each distinct ``text`` of ``docs`` once, and their number. Only texts that have copies are shuffled."""
     hashed = docs.select("text", F.xxhash64("text").alias("h"))
     copies = cut(hashed.groupBy("h").agg(F.count("*").alias("rows")))
-    n = copies.count()
-    repeated = F.lit(True)
-    # Only texts that may have copies are shuffled to be told apart.
-    texts = hashed.where(~repeated).select("text").unionByName(hashed.where(repeated).groupBy("h").agg(F.first("text").alias("text")).select("text"))
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("slot")).groupBy("slot").count()
-    band = counts.where((F.col("count") >= LOW * n) & (F.col("count") <= max(1.0, HIGH * n)))
-    bits = F.bit_or(F.expr("shiftleft(1, int(slot % 7))")).alias("bits")
-    bitmap = bytearray((1 << SLOT_BITS) // 7 + 1)
-    for row in band.groupBy(F.expr("int(slot div 7)").alias("at")).agg(bits).toLocalIterator():  # no more rows than bytes
-        bitmap[row["at"]] = row["bits"]
-    return F.lit(bytes(bitmap))
+    repeated = copies.where("rows > 1").select("h")
+    n, many = copies.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
+    repeated = F.broadcast(repeated) if many <= BROADCAST_ROWS else repeated
+    first = hashed.join(repeated, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    return hashed.join(repeated, "h", "left_anti").select("text").unionByName(first.select("text")), n
 
 
-def known(text: Column, bitmap: Column) -> Column:
-    """Sorted distinct terms of a text that the lexicon has."""
+def band(docs: DataFrame) -> DataFrame:
+    """The lexicon: ``term`` hashes whose document frequency, over distinct texts, lies in the band.
 
-    def inside(s: Column) -> Column:
-        byte = F.ascii(F.substring(bitmap, (s / 7).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftright", byte, (s % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
+    A term of a single text is below its upper end however few the texts are.
+    """
+    texts, n = distinct_texts(docs)
+    counts = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").count()
+    return cut(counts.where((F.col("count") >= LOW * n) & (F.col("count") <= max(1.0, HIGH * n))).select("term"))
 
-    return F.array_sort(F.filter(terms(text), inside))
 
+class Lexicon:
+    """The lexicon as one binary: buckets by the terms' leading bits, each with the tags (last bits) of its terms."""
 
-def fingerprint(own: Column) -> Column:
-    """Array of one hash for each subset, of the ``known`` terms that it keeps; null where it keeps none.
+    def __init__(self, band: DataFrame):
+        n = band.count()
+        self.bits = max(1, (n // 16).bit_length())
+        tags = band.select(self._bucket(F.col("term")).alias("id"), self._tag(F.col("term")).alias("tag")).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("tag")), "").alias("tags"))
+        self.width = (tags.agg(F.max(F.length("tags"))).first()[0] or _TAG) // 2
+        rows = band.sparkSession.range(1 << self.bits).join(tags, "id", "left").select("id", F.rpad(F.coalesce("tags", F.lit("")), 2 * self.width, "0").alias("tags"))
+        whole = F.transform(F.array_sort(F.collect_list(F.struct("id", "tags"))), lambda x: x["tags"])
+        self.table = F.lit(bytes(rows.agg(F.unhex(F.array_join(whole, ""))).first()[0]))
 
-    Each of ``DRAWS`` random digests of a term thins the lexicon out in steps, so a subset holds the next.
-    The densest subsets are for documents of at most ``FEW`` terms: in others no edit would leave them whole.
-    """
-    masks = F.array(*(F.lit((1 << e) - 1).cast("long") for e in RATES[1:]))
-    start = F.struct(own.alias("own"), F.array().cast("array<int>").alias("out"))
-    drawn = lambda terms, k, mask: F.filter(terms, lambda s: F.xxhash64(s, k).bitwiseAND(mask) == 0)
+    def _bucket(self, term: Column) -> Column:
+        return F.shiftrightunsigned(term, 64 - self.bits)
 
-    def one(k: Column) -> Column:
-        def step(s: Column, mask: Column) -> Column:
-            before = F.when(F.size(s["out"]) > 0, F.hash(s["own"]))  # of all terms it is not needed
-            return F.struct(drawn(s["own"], k, mask).alias("own"), F.concat(s["out"], F.array(before)).alias("out"))
+    def _tag(self, term: Column) -> Column:
+        return F.lpad(F.hex(term.bitwiseAND(F.lit((1 << 4 * _TAG) - 1).cast("long"))), _TAG, "0")
 
-        thin = F.aggregate(masks, start, step, lambda s: F.slice(F.concat(s["out"], F.array(F.hash(s["own"]))), 2, len(RATES) - 1))
-        return F.concat(F.array(F.when(F.size(own) <= FEW, F.hash(drawn(own, k, F.lit((1 << RATES[0]) - 1).cast("long"))))), thin)
+    def known(self, text: Column) -> Column:
+        """Sorted distinct terms of a text that the lexicon has."""
 
-    empty = F.hash(F.array().cast("array<bigint>"))
-    return F.transform(F.flatten(F.transform(F.array(*(F.lit(k) for k in range(DRAWS))), one)), lambda h: F.nullif(h, empty))
+        def inside(term: Column) -> Column:
+            own = F.substring(self.table, (self._bucket(term) * self.width + 1).cast("int"), F.lit(self.width))
+            return F.contains(own, F.unhex(self._tag(term)))
+
+        return F.array_sort(F.array_distinct(F.filter(terms(text), inside)))
+
+
+def fingerprint(own: Column) -> Column:
+    """One array for each rate, with a hash for each subset of the sorted ``own`` terms; null where it keeps none."""
+    borders = F.expr("array(" + ",".join(f"shiftleft({j}L, {64 - DRAW_BITS})" for j in range(1 << DRAW_BITS)) + ")")
+    bit = lambda e: (lambda t: F.shiftrightunsigned(t, 64 - e).bitwiseAND(F.lit((1 << (e - DRAW_BITS)) - 1).cast("long")) == 0)
+    out = []
+    for e in RATES:
+        # Of the bits behind those that number the subset, a term has as many unset as make the rate.
+        kept = F.filter(own, bit(e)) if e > DRAW_BITS else own
+        line = F.transform(F.sort_array(F.concat(kept, borders)), lambda t: F.when(t.bitwiseAND(F.lit(1).cast("long")) == 0, "|").otherwise(F.concat(F.hex(t), F.lit(","))))
+        subsets = F.slice(F.split(F.array_join(line, ""), r"\|"), 2, 1 << DRAW_BITS)
+        out.append(F.transform(subsets, lambda s: F.when(s != "", F.xxhash64(s))))
+    return F.array(*out)
 
 
 def likeness(x: Column, y: Column, equal: Column) -> Column:
-    """Agreeing hashes by those that either has; where neither has any, whether the texts are equal."""
-    both = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False))))
-    some = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: F.coalesce(z["x"], z["y"]).isNotNull()))
-    return F.when(some > 0, both / some).otherwise(equal.cast("double"))
+    """The largest share of agreeing hashes, of those that either has, at a rate; a sparser rate needs ``SEEN`` of them.
+
+    Where neither has a term of the lexicon it is whether the texts are equal.
+    """
+
+    def share(r: int) -> Column:
+        both = F.zip_with(F.get(x, F.lit(r)), F.get(y, F.lit(r)), lambda a, b: F.when(a == b, 1).when(F.coalesce(a, b).isNotNull(), 0))
+        seen = F.filter(both, lambda v: v.isNotNull())
+        agree = F.size(F.filter(seen, lambda v: v == 1))
+        return F.when(F.size(seen) >= (SEEN if r else 1), agree / F.size(seen))
+
+    return F.coalesce(F.greatest(*(share(r) for r in range(len(RATES)))), equal.cast("double"))
 
 
 def written(x: Column) -> Column:
-    return F.array_join(F.transform(x, lambda h: F.coalesce(F.lower(F.hex(h.bitwiseAND(F.lit((1 << 32) - 1).cast("long")))), F.lit("-"))), ".")
+    """Hashes in hexadecimal, subsets divided by a point, ``-`` where empty, rates by a slash."""
+    return F.array_join(F.transform(x, lambda rate: F.array_join(F.transform(rate, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ".")), "/")
 
 
-def successors(keys: DataFrame) -> DataFrame:
-    """For each row of ``keys`` (``k``, ``h``, distinct, and ``n``) the next by ``k``, ``h``: ``nk``, ``nh``; after the last the first.
+def starts(keys: DataFrame) -> list[tuple[int, int]]:
+    """The first ``k``, ``h`` of each of several runs of like size, in order: a few for each shuffle partition."""
+    runs = keys.repartitionByRange(BLOCKS * parallelism(keys.sparkSession), "k", "h").groupBy(F.spark_partition_id().alias("run")).agg(F.min(F.struct("k", "h")).alias("first"))
+    return sorted(tuple(r["first"]) for r in runs.collect())  # a row for each run
 
-    Rows are sorted by range over partitions; a partition's last row looks up the first of the next.
-    """
-    placed = cut(keys.repartitionByRange(parallelism(keys.sparkSession), "k", "h").withColumn("part", F.spark_partition_id()))
-    own = Window.partitionBy("part").orderBy("k", "h")
-    firsts = placed.groupBy("part").agg(F.min(F.struct("k", "h")).alias("first"))  # a row for each partition
-    line = Window.orderBy("part")
-    after = firsts.select("part", F.coalesce(F.lead("first").over(line), F.first("first").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    out = placed.withColumn("next", F.lead(F.struct("k", "h")).over(own)).join(after, "part").withColumn("next", F.coalesce("next", "after"))
-    return out.select("k", "h", "n", F.col("next.k").alias("nk"), F.col("next.h").alias("nh"))
+
+def blocks(first: list[tuple[int, int]], k: Column, h: Column) -> Column:
+    """The blocks of a row: its own, and if it is the first of one, as a guest the one before."""
+    longs = lambda i: F.expr("array(" + ",".join("bigint(%d)" % x[i] if x[i] > _FIRST else "shiftleft(1L, 63)" for x in first) + ")")
+    ks, hs = longs(0), longs(1)
+
+    def search(at: Column, step: Column) -> Column:
+        x, y = F.get(ks, at + step), F.get(hs, at + step)
+        return F.when((k > x) | (k == x) & (h >= y), at + step).otherwise(at)
+
+    at = F.aggregate(F.array(*(F.lit(1 << j) for j in reversed(range(len(first).bit_length())))), F.lit(0), search)
+    return F.transform(F.array(at), lambda b: F.when((k == F.get(ks, b)) & (h == F.get(hs, b)), F.array(b, F.pmod(b - 1, F.lit(len(first))))).otherwise(F.array(b)))[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -121,34 +155,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     and ``near_next``. Null texts are empty; rows without a ``doc_id`` (or with the
     least long there is, which stands for none) come first; rows of one ``doc_id``
     follow by a hash of the text, and equal rows count as one document of which each row has the result.
-    A single document is its own next. An empty table gives no rows. Other columns are not read.
+    A single document is its own next. An empty table gives no rows. Very long texts are taken whole, by one
+    task each. Other columns are not read.
+
+    Documents are dealt once into blocks that follow each other by ``doc_id``; the first of a block is also
+    a guest in the block before, so that each block holds what comes next to each of its documents.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # A digest of the text tells the rows of one doc_id apart. Both joins below take the same columns, so
-    # that the texts are shuffled once; the id is had back from the key, whose least value stands for null.
-    keyed = docs.select("text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("h"))
-    keys = cut(keyed.select("k", "h", F.length("text").cast("long").alias("n")).groupBy("k", "h").agg(F.first("n").alias("n"), F.count("*").alias("rows")))
-    repeats = keys.where("rows > 1").limit(1).count() > 0
-    order = cut(successors(keys.select("k", "h", "n")))
-    bitmap = lexicon(docs)
-
-    asked = order.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.col("k").alias("for_k"), F.col("h").alias("for_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    tails = keyed.join(asked, ["k", "h"]).select(F.col("for_k").alias("k"), F.col("for_h").alias("h"), "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("tail"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    keys = cut(keyed.select("k", "h").groupBy("k", "h").agg(F.count("*").alias("rows")))
+    repeats = not keys.where("rows > 1").isEmpty()
+    first = starts(keys)
+    if not first:
+        first = [(_FIRST, _FIRST)]
     if repeats:
-        tails = tails.dropDuplicates(["k", "h"])
-    whole = keyed.join(tails, ["k", "h"]).withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.col("tail"))
-    whole = whole.select(F.nullif(F.col("k"), F.lit(_FIRST)).alias("doc_id"), "k", "h", "n_chars", "text", edited.alias("edited"))
+        keyed = keyed.groupBy("k", "h").agg(F.first("text").alias("text"), F.count("*").cast("int").alias("rows"))
+    lexicon = Lexicon(band(docs))
+
+    dealt = keyed.select("*", F.posexplode(blocks(first, F.col("k"), F.col("h"))).alias("guest", "block"))
+    # The guest of the last block is the first document of all.
+    in_order = Window.partitionBy("block").orderBy("last", "k", "h")
+    dealt = dealt.withColumn("last", (F.col("guest") == 1).cast("int"))
+    step = dealt.withColumns({"next_h": F.lead("h").over(in_order), "next_text": F.lead("text").over(in_order)})
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    step = step.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     # In steps: an expression that is used more than once is a column of its own.
-    printed = whole.select(
-        "doc_id", "k", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), (F.col("text") == F.col("edited")).alias("same"),
-        known(F.col("text"), bitmap).alias("own"), known(F.col("edited"), bitmap).alias("other"),
-    ).withColumns({"own": fingerprint(F.col("own")), "other": fingerprint(F.col("other"))})
-    printed = cut(printed.withColumn("near_edited", likeness(F.col("own"), F.col("other"), F.col("same"))))
-    of_next = printed.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("next_own"))
+    step = step.select(
+        "k", "h", "block", "last", "next_h", *(["rows"] if repeats else []), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), (F.col("text") == F.col("edited")).alias("same"),
+        lexicon.known(F.col("text")).alias("own"), F.when(F.col("last") == 0, lexicon.known(F.col("edited"))).alias("other"),
+    )
+    step = step.withColumns({"own": fingerprint(F.col("own")), "other": F.when(F.col("last") == 0, fingerprint(F.col("other")))})
+    step = step.withColumn("next_own", F.lead("own").over(in_order)).where("last = 0")
     if repeats:
-        of_next = of_next.dropDuplicates(["nk", "nh"])
-    out = printed.join(order.select("k", "h", "nk", "nh"), ["k", "h"]).join(of_next, ["nk", "nh"])
-    near = likeness(F.col("own"), F.col("next_own"), F.col("h") == F.col("nh"))
-    return out.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), "near_edited", near.alias("near_next"))
+        step = step.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    near_edited = likeness(F.col("own"), F.col("other"), F.col("same"))
+    near_next = likeness(F.col("own"), F.col("next_own"), F.col("h") == F.col("next_h"))
+    return step.select(
+        F.nullif(F.col("k"), F.lit(_FIRST)).alias("doc_id"), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
+        near_edited.alias("near_edited"), near_next.alias("near_next"),
+    )
