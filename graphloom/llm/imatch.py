@@ -90,7 +90,7 @@ class Lexicon:
             own = F.substring(self.table, (self._bucket(term) * self.width + 1).cast("int"), F.lit(self.width))
             return F.contains(own, F.unhex(self._tag(term)))
 
-        return F.array_sort(F.array_distinct(F.filter(terms(text), inside)))
+        return F.sort_array(F.array_distinct(F.filter(terms(text), inside)))
 
 
 def fingerprint(own: Column) -> Column:
