@@ -101,14 +101,23 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id
 ORACLES["op10_mix"] = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     (CAST(CAST('0x' || substr(md5('20240607:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
+k AS (SELECT *, CAST(length(bin(size)) AS INTEGER) AS class FROM s),
 r AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM s GROUP BY source),
 w AS (SELECT *, (no - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM r),
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER a, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER a, 0) AS DOUBLE) AS level FROM w WINDOW a AS (ORDER BY CAST(cap AS DOUBLE) / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT level FROM l WHERE level * weight <= cap ORDER BY CAST(cap AS DOUBLE) / weight, no LIMIT 1),
 t AS (SELECT source, no, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM f), 0) * weight) AS target FROM w),
-d AS (SELECT s.*, no, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, floor(each) AS whole, each - floor(each) AS p, u / (1 - u) / ((each - floor(each)) / (1 - (each - floor(each)))) AS rank FROM d),
-b AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY no ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q),
-c AS (SELECT *, CAST(whole AS INTEGER) + CASE WHEN p > 0 AND 2 * ahead + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS copies FROM b)
-SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies FROM c
+c AS (SELECT source, class, sum(size) AS words FROM k GROUP BY source, class),
+g AS (SELECT no, class, words, target, source_size, coalesce(sum(words) OVER longer, 0) AS above, sum(class * words) OVER (PARTITION BY no) - coalesce(sum(class * words) OVER longer, 0) AS weighed
+    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WINDOW longer AS (PARTITION BY no ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN weighed > 0 THEN (target - CAST(3 * above AS DOUBLE)) / CAST(weighed AS DOUBLE) ELSE 0 END AS rate FROM g),
+m AS (SELECT no, arg_max(rate, class) AS rate FROM h WHERE rate * class <= 3 GROUP BY no),
+e AS (SELECT h.no, class, words, target, CASE WHEN target >= source_size * 3 THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, coalesce(m.rate, 3.0::DOUBLE) * class) END AS each FROM h LEFT JOIN m USING (no)),
+o AS (SELECT no, target - CAST(sum(CAST(floor(each) AS BIGINT) * words) AS DOUBLE) AS lacking FROM e GROUP BY no, target),
+d AS (SELECT k.*, t.no, source_size, t.target, lacking, floor(each) AS whole, each - floor(each) AS p FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source JOIN e ON e.no = t.no AND e.class = k.class JOIN o ON o.no = t.no),
+q AS (SELECT *, u / (1 - u) / (p / (1 - p)) AS rank FROM d),
+b AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY no ORDER BY p = 0, rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q),
+x AS (SELECT no, max(struct_pack(rank := rank, doc_id := doc_id, size := size)) AS last FROM b WHERE p > 0 AND 2 * ahead + size <= 2 * lacking GROUP BY no),
+z AS (SELECT b.*, CAST(whole AS INTEGER) + CASE WHEN p > 0 AND coalesce(struct_pack(rank := rank, doc_id := doc_id, size := size) <= last, false) THEN 1 ELSE 0 END AS copies FROM b LEFT JOIN x USING (no))
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies, p FROM z
 """

@@ -88,16 +88,46 @@ def test_mix(spark):
     assert whole.columns == df.columns and whole.count() == sum(r["copies"] for r in out)
 
 
+def expected(sizes, target, most=3):
+    """How often each document is to come, by length class: the rate found by bisection."""
+    classes = [len(f"{n:b}") for n in sizes]
+    low, high = 0.0, float(most)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(most, mid * c) for n, c in zip(sizes, classes, strict=True)) < target else (low, mid)
+    return [min(most, high * c) for c in classes]
+
+
+def test_expected_copies(spark):
+    rows, df = many(spark)
+    rows += [(9000, "w " * 3000, "a"), (9001, "", "a"), (9002, None, None), (9003, "one", None)]
+    df = spark.createDataFrame(rows, df.schema)
+    out = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    by = defaultdict(list)
+    for d, _, s in rows:
+        by[s].append(out[d])
+    for own in by.values():
+        if own[0]["target"] < 3 * own[0]["source_size"]:
+            for r, each in zip(own, expected([r["size"] for r in own], own[0]["target"]), strict=True):
+                assert abs(r["p"] - each % 1) < 1e-6 or abs(abs(r["p"] - each % 1) - 1) < 1e-6
+                assert int(each + 1e-9) <= r["copies"] <= int(each + 1e-9) + 1
+
+
 def test_inclusion_follows_probability(spark):
-    """Over many seeds each document of a source comes as often as its probability says."""
-    rows = [(i, "a b c d", "x" if i < 12 else "y") for i in range(30)]
+    """Over many seeds documents of one source come as often as their own, different probabilities say."""
+    rows = [(i, " ".join("ab" for _ in range((1, 6, 40)[i % 3])), "x" if i < 240 else "y") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
-    seen = defaultdict(int)
-    for seed in range(8):
+    seen, p = defaultdict(list), {}
+    for seed in range(6):
         for r in mixing.mix(df, seed).collect():
-            seen[r["doc_id"]] += r["copies"]
-    x = [seen[i] / 8 for i in range(12)]
-    assert abs(np.mean(x) - 40 / 48) < 0.1 and max(x) <= 1.0
+            kind = (rows[r["doc_id"]][2], r["size"])
+            p[kind] = r["p"]
+            seen[kind].append(r["copies"])
+    for kind, found in seen.items():
+        whole = min(found)
+        assert max(found) <= whole + 1
+        assert abs(np.mean(found) - whole - p[kind]) < 0.08, (kind, np.mean(found), p[kind])
+    assert len({round(v, 3) for k, v in p.items() if k[0] == "x"}) == 3
 
 
 def test_mix_of_odd_rows(odd, nothing):
