@@ -1,7 +1,8 @@
 """Quotation linking, by DataFrame functions alone.
 
 Lines of a message carry nested quote marks. Runs of lines of one level are passages; quoted passages
-are hashed in a normal form and looked up among the messages' own words. A message answers the one it
+are hashed in a normal form, whole, by line and by sentence, and looked up among the messages' own words;
+those of fewer than ``LEAST`` letters only within their conversation. A message answers the one it
 quotes, or else the turn before it in its conversation. Links lead to the first message of a thread,
 found by pointer doubling, and each message comes back with its own words alone, in reply order.
 """
@@ -11,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, parallelism
 
 #: Marks that open a quoted line: ``>`` after any white space, nested by repetition.
 _MARKS = r"^(?:[ \t]*>)+ ?"
-#: Letters and digits that a passage must have to be looked up.
+#: Letters and digits that a passage must have to be looked up in other conversations than its own.
 LEAST = 8
-#: Turns of a conversation that are sorted together.
-STRIDE = 1024
+#: A private-use character that marks where passages begin; in a text it counts as another character.
+_CUT = "\ue000"
+#: Where sentences end.
+_SENTENCE = r"(?<=[.!?\u3002\uff01\uff1f])\s*"
 
 
 def level(line: Column) -> Column:
@@ -26,20 +29,19 @@ def level(line: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Runs of lines of one quote level, in order: ``level``, ``lines``."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line")))
-    none = F.array().cast("array<struct<level:int,lines:array<string>>>")
+    """Runs of lines of one quote level, in order: ``level``, ``lines``.
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s, -1)
-        same = (F.size(s) > 0) & (last["level"] == x["level"])
-        grown = F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))))
-        fresh = F.concat(s, F.array(F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))))
-        return F.when(same, grown).otherwise(fresh)
-
-    # A text without any mark is one passage of level 0: no need to go through its lines.
-    whole = F.array(F.struct(F.lit(0).alias("level"), F.transform(lines, lambda x: x["line"]).alias("lines")))
-    return F.when(text.rlike(r"(?m)^[ \t]*>"), F.aggregate(lines, none, step)).otherwise(whole)
+    Each line is compared with the one before it; the text is joined again with a mark where levels
+    change and cut there, so the work grows with the text, not with its square.
+    """
+    lines = F.split(F.translate(text, _CUT, "?"), r"\r\n|\n|\r")
+    marked = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line")))
+    # Shifted by one; the first line has none before it.
+    before = F.concat(F.array(F.lit(-1)), F.transform(marked, lambda x: x["level"]))
+    pairs = F.arrays_zip(marked.alias("x"), F.slice(before, F.lit(1), F.size(marked)).alias("before"))
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(F.when(p["x"]["level"] == p["before"], "\n").otherwise(F.concat(F.lit(_CUT), p["x"]["level"].cast("string"), F.lit("\n"))), p["x"]["line"])), "")
+    runs = F.slice(F.split(joined, _CUT), F.lit(2), F.size(F.split(joined, _CUT)))
+    return F.transform(runs, lambda r: F.struct(F.substring_index(r, "\n", 1).cast("int").alias("level"), F.split(F.substring(r, F.length(F.substring_index(r, "\n", 1)) + 2, F.length(r)), "\n").alias("lines")))
 
 
 def normal(x: Column) -> Column:
@@ -48,21 +50,30 @@ def normal(x: Column) -> Column:
 
 
 def _hashes(found: Column, quoted: bool) -> Column:
-    """Hashes of passages of a kind: of each whole, and of each of its lines; ``h``, ``size``, ``level``."""
+    """Hashes of passages of a kind: of each whole, of its lines and of its sentences; ``h``, ``size``, ``level``."""
     kind = F.filter(found, lambda p: (p["level"] > 0) if quoted else (p["level"] == 0))
-    pieces = F.flatten(F.transform(kind, lambda p: F.transform(F.concat(F.array(F.array_join(p["lines"], " ")), p["lines"]), lambda x: F.struct(normal(x).alias("x"), p["level"].alias("level")))))
-    long = F.filter(pieces, lambda x: F.length(x["x"]) >= LEAST)
-    return F.array_distinct(F.transform(long, lambda x: F.struct(F.sha2(x["x"], 256).alias("h"), F.length(x["x"]).alias("size"), x["level"].alias("level"))))
+    parts = lambda p: F.concat(F.array(F.array_join(p["lines"], " ")), p["lines"], F.split(F.array_join(p["lines"], " "), _SENTENCE))
+    # As strings, level first: of these, unlike structs, distinct ones are found in linear time.
+    pieces = F.flatten(F.transform(kind, lambda p: F.transform(parts(p), lambda x: F.concat(p["level"].cast("string"), F.lit(":"), normal(x)))))
+    some = F.filter(F.array_distinct(pieces), lambda x: ~F.endswith(x, F.lit(":")))
+    text = lambda x: F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))
+    return F.transform(some, lambda x: F.struct(F.unhex(F.md5(text(x))).alias("h"), F.length(text(x)).alias("size"), F.substring_index(x, ":", 1).cast("int").alias("level")))
 
 
 def _previous(keys: DataFrame) -> DataFrame:
-    """For each ``conv_id``, ``turn`` the turn before it, if any: ``before``. Long conversations are sorted in strides."""
-    keys = keys.withColumn("stride", F.floor(F.col("turn") / STRIDE))
-    own = Window.partitionBy("conv_id", "stride").orderBy("turn")
-    line = Window.partitionBy("conv_id").orderBy("stride")
-    ends = keys.groupBy("conv_id", "stride").agg(F.max("turn").alias("last")).withColumn("ahead", F.lag("last").over(line)).drop("last")
-    out = keys.withColumn("before", F.lag("turn").over(own)).join(ends, ["conv_id", "stride"])
-    return out.select("conv_id", "turn", F.coalesce("before", "ahead").alias("before"))
+    """For each ``conv_id``, ``turn`` the turn before it, if any: ``before``.
+
+    Keys are sorted by range over partitions, whatever the size of a conversation; the first of a
+    partition looks up the last of the one before.
+    """
+    spread = keys.repartitionByRange(parallelism(keys.sparkSession), "conv_id", "turn")
+    placed = cut(spread.withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy("conv_id", "turn")
+    lasts = placed.groupBy("part").agg(F.max(F.struct("conv_id", "turn")).alias("end"))  # a row for each partition
+    lasts = lasts.select("part", F.lag("end").over(Window.orderBy("part")).alias("end"))
+    out = placed.withColumn("ahead", F.lag(F.struct("conv_id", "turn")).over(own)).join(lasts, "part")
+    ahead = F.coalesce("ahead", "end")
+    return out.select("conv_id", "turn", F.when(ahead["conv_id"] == F.col("conv_id"), ahead["turn"]).alias("before"))
 
 
 def parents(messages: DataFrame) -> DataFrame:
@@ -75,9 +86,9 @@ def parents(messages: DataFrame) -> DataFrame:
     asked = found.where(F.exists("p", lambda p: p["level"] > 0)).select("conv_id", "turn", F.explode(_hashes(F.col("p"), quoted=True)).alias("x")).select("conv_id", "turn", "x.*")
     asked = asked.join(here, ["conv_id", "h"], "left").join(anywhere, "h", "left")
     near = F.when(F.col("there") < F.col("turn"), F.struct("conv_id", F.col("there").alias("turn")))
-    far = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
+    far = F.when((F.col("first") < F.struct("conv_id", "turn")) & (F.col("size") >= LEAST), F.col("first"))
     asked = asked.withColumn("to", F.coalesce(near, far)).where("to is not null")
-    # What is quoted once is answered; deeper quotes are those of the answered message. Most letters win.
+    # What is quoted once is answered; deeper quotes are those of the answered message. Most letters win, then the later message.
     votes = asked.groupBy("conv_id", "turn", "to").agg(F.min("level").alias("level"), F.sum("size").alias("size"))
     linked = votes.groupBy("conv_id", "turn").agg(F.max_by("to", F.struct(-F.col("level"), "size", "to")).alias("to"))
     keys = messages.select("conv_id", "turn").distinct()
@@ -88,15 +99,19 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def roots(linked: DataFrame, rounds: int = 60) -> DataFrame:
-    """The first message of each message's thread and the replies from there, by doubling pointers."""
+    """The first message of each message's thread and the replies from there, by doubling pointers.
+
+    A message whose pointer has come to a first message is settled: it is looked up, but not moved any more.
+    """
     me = F.struct("conv_id", "turn")
-    state = cut(linked.select(me.alias("me"), F.coalesce("to", me).alias("up"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    state = cut(linked.select(me.alias("me"), F.coalesce("to", me).alias("up"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("to").isNull().alias("settled")))
     for _ in range(rounds):
-        above = state.select(F.col("me").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        state = cut(state.join(above, "up").select("me", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if not state.where("moved").limit(1).count():
+        moving = state.where("not settled")
+        if moving.isEmpty():
             return state.select("me.*", F.col("up").alias("root"), "depth")
-        state = state.drop("moved")
+        above = state.select(F.col("me").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("settled").alias("top"))
+        moved = moving.drop("settled").join(above, "up").select("me", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("settled"))
+        state = cut(state.where("settled").unionByName(moved))
     raise RuntimeError("threads did not settle")
 
 
@@ -110,7 +125,11 @@ def threads(messages: DataFrame) -> DataFrame:
     ``none``), ``quotes`` (quoted passages) and ``chat`` (role and text as one formatted turn). A thread
     sorted by ``conv_id``, ``turn`` has every message after the one it answers. Null and empty texts are
     empty turns; a row without ``conv_id`` or ``turn`` is a thread of its own without a first message;
-    rows of one key share its links. An empty table gives no rows. Other columns are not read.
+    rows of one key share its links, which any of their texts may give. Of several messages that have a quoted
+    passage the first of the conversation, or else the first of all, is its original; of several that a
+    message quotes it answers the one quoted at the least level, then by most letters, then the latest. A
+    text of any length is taken whole, in time that grows with it. An empty table gives no rows. Other
+    columns, of whatever name, are not read.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     linked = cut(parents(rows.where("conv_id is not null and turn is not null")))
