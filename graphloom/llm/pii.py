@@ -12,10 +12,13 @@ over votes and features of the span. Candidates that it is sure of are added; ba
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import Scratch
+
 KINDS = ("email", "ip", "card", "phone")
 #: Strict patterns of the base. ``\G`` or a lookbehind only spares scanning a run of characters again
 #: from its middle, and possessive loops only spare backtracking that can't succeed.
@@ -45,6 +48,8 @@ CUES = {
 COUNTER_CUES = "version release chapter section figure table page isbn issn doi serial order invoice sha md5 build rfc"
 #: Code points before a span in which cue words count.
 BEFORE = 40
+#: Pieces or spans of a text that are gone through together.
+STRIDE = 256
 ROUNDS = 12
 SURE = 0.95
 
@@ -79,20 +84,43 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(marked, _OPEN)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, wherever and how often ``f`` uses it, also within lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def matches(cut_up: Column) -> Column:
-    """The matches in ``pieces``, in order: ``start`` (code points), ``match`` and what stands ``before``."""
-    head = F.element_at(cut_up, 1)
+    """The matches in ``pieces``, in order: ``start`` (code points), ``match`` and what stands ``before``.
+
+    Positions are running lengths. They are summed within strides of pieces, from the sums of the strides
+    before, so that the work grows with the matches of a text and not with their square.
+    """
+    parts = F.transform(cut_up, lambda p, i: F.struct(F.when(i > 0, F.substring_index(p, _SHUT, 1)).otherwise("").alias("match"), p.alias("piece")))
+    parts = F.transform(parts, lambda x: F.struct(x["match"].alias("match"), F.when(x["match"] == "", x["piece"]).otherwise(F.substring(x["piece"], F.length(x["match"]) + 2, F.length(x["piece"]))).alias("rest")))
+    sized = F.transform(parts, lambda x: F.struct(x["match"].alias("match"), F.right(F.concat(x["match"], F.right(x["rest"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"), (F.length(x["match"]) + F.length(x["rest"])).alias("n")))
     none = F.array().cast("array<struct<start:int,match:string,before:string>>")
-    start = F.struct(F.length(head).alias("at"), F.right(head, F.lit(BEFORE)).alias("before"), none.alias("out"))
 
-    def step(s: Column, piece: Column) -> Column:
-        match = F.substring_index(piece, _SHUT, 1)
-        rest = F.substring(piece, F.length(match) + 2, F.length(piece))
-        found = F.struct(s["at"].alias("start"), match.alias("match"), s["before"].alias("before"))
-        before = F.right(F.concat(s["before"], match, F.right(rest, F.lit(BEFORE))), F.lit(BEFORE))
-        return F.struct((s["at"] + F.length(match) + F.length(rest)).cast("int").alias("at"), before.alias("before"), F.concat(s["out"], F.array(found)).alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        found = F.struct(s["at"].alias("start"), x["match"].alias("match"), s["before"].alias("before"))
+        out = F.when(x["match"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(found)))
+        return F.struct((s["at"] + x["n"]).alias("at"), F.right(F.concat(s["before"], x["tail"]), F.lit(BEFORE)).alias("before"), out.alias("out"))
+
+    def of(sized: Column) -> Column:
+        # A piece has a code point at least (but for the first), so as many of them as BEFORE reach far enough back.
+        first = lambda at: F.greatest(at - BEFORE - 1, F.lit(1))
+        lead = lambda at: F.right(F.array_join(F.transform(F.slice(sized, first(at), at - first(at)), lambda x: x["tail"]), ""), F.lit(BEFORE))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(sized), F.lit(1)), F.lit(STRIDE))
+        strides = F.transform(starts, lambda at: F.struct(lead(at).alias("before"), F.slice(sized, at, F.lit(STRIDE)).alias("own")))
 
-    return F.aggregate(F.slice(cut_up, F.lit(2), F.size(cut_up) - 1), start, step, lambda s: s["out"])
+        def all_of(strides: Column) -> Column:
+            lengths = F.transform(strides, lambda s: F.aggregate(s["own"], F.lit(0), lambda n, x: n + x["n"]))
+            sums = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+            one = lambda sums: (lambda s, k: F.aggregate(s["own"], F.struct(F.get(sums, k).alias("at"), s["before"].alias("before"), none.alias("out")), step, lambda x: x["out"]))
+            return let(sums, lambda sums: F.flatten(F.transform(strides, one(sums))))
+
+        return let(strides, all_of)
+
+    return let(sized, of)
 
 
 def _as_spans(found: Column, kind: str, strict: bool) -> Column:
@@ -122,10 +150,22 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast(_SPAN)
     out = out.withColumns({c: F.coalesce(_as_spans(F.col(c), c.rsplit("_", 1)[1], c.startswith("_strict")), none) for c in asked})
     out = out.withColumn("_strict", F.concat(*(F.col(f"_strict_{k}") for k in KINDS))).withColumn("_wide", F.concat(*(F.col(f"_wide_{k}") for k in KINDS)))
-    out = out.withColumn("base", F.array_sort(F.filter("_strict", lambda s: s["strict"])))
+    out = out.withColumn("base", F.sort_array(F.filter("_strict", lambda s: s["strict"])))
     others = F.concat(F.filter("_strict", lambda s: ~s["strict"]), F.col("_wide"))
-    meets = lambda s: F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return out.withColumn("wide", F.array_sort(F.filter(others, lambda s: ~meets(s)))).drop("_digit", "_strict", "_wide", *asked)
+    return out.withColumn("wide", F.sort_array(clear(others, F.col("base")))).drop("_digit", "_strict", "_wide", *asked)
+
+
+def clear(others: Column, base: Column) -> Column:
+    """Those of the spans ``others`` that meet none of ``base``, which are sorted.
+
+    Base spans are gone through in strides, each with its bounds: most are passed over without a look at their spans.
+    """
+    crosses = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+    starts = F.sequence(F.lit(1), F.greatest(F.size(base), F.lit(1)), F.lit(STRIDE))
+    own = F.transform(starts, lambda at: F.transform(F.slice(base, at, F.lit(STRIDE)), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
+    strides = F.transform(own, lambda x: F.struct(F.array_min(F.transform(x, lambda b: b["start"])).alias("start"), F.array_max(F.transform(x, lambda b: b["stop"])).alias("stop"), x.alias("spans")))
+    meets = lambda s, strides: F.exists(strides, lambda x: F.when(crosses(x, s), F.exists(x["spans"], lambda b: crosses(b, s))).otherwise(False))
+    return F.when(F.size(others) == 0, others).otherwise(let(strides, lambda strides: F.filter(others, lambda s: ~F.coalesce(meets(s, strides), F.lit(False)))))
 
 
 def _words_of(text: str) -> str:
@@ -161,9 +201,9 @@ def features(s: Column) -> dict[str, Column]:
     }
 
 
-def patterns(docs: DataFrame) -> DataFrame:
-    """Counts of candidates by kind, votes and features: a table of bounded size whatever the corpus."""
-    each = with_candidates(docs).select(F.explode(F.concat("base", "wide")).alias("s"))
+def patterns(found: DataFrame) -> DataFrame:
+    """Counts of candidates (``base``, ``wide``) by kind, votes and features: a table of bounded size whatever the corpus."""
+    each = found.select(F.explode(F.concat("base", "wide")).alias("s"))
     each = each.select(F.col("s.kind").alias("kind"), *(c.cast("int").alias(n) for n, c in features(F.col("s")).items()))
     return each.groupBy("kind", *_FEATURES).agg(F.count("*").cast("double").alias("n"))
 
@@ -188,12 +228,12 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def classifier(docs: DataFrame) -> tuple[dict, float] | None:
+def classifier(found: DataFrame) -> tuple[dict, float] | None:
     """The span classifier's weights and constant; none where the corpus has no candidates.
 
     Counting the patterns goes over all documents; what is left to do goes over the counts.
     """
-    counted = sorted(patterns(docs).collect(), key=lambda r: tuple(r)[:-1])  # of bounded size: values of votes and features
+    counted = sorted(patterns(found).collect(), key=lambda r: tuple(r)[:-1])  # of bounded size: values of votes and features
     if not counted:
         return None
     # First guess: the balance of votes, the pattern labeler's counting twice.
@@ -226,12 +266,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
     base spans as ``kind:start:end``, by start, then kind), ``spans`` (base and added, written likewise),
     ``n_added`` and ``added``. Positions are code points, ends exclusive. Null and empty texts have no
     spans; rows that repeat or have no ``doc_id`` are treated each on its own; the private-use
-    characters U+E000 and U+E001 count as one other character each. An empty table gives no rows. Other
-    columns are not read.
+    characters U+E000 and U+E001 count as one other character each. Spans that begin together are
+    ordered by kind. A text of any length is gone through whole, in time that grows with it. An empty table
+    gives no rows. Other columns, of whatever name, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trained = classifier(docs)
-    out = with_candidates(docs)
+    # Texts are gone through once: what is left of them are their spans.
+    out = Scratch(docs.sparkSession).table(with_candidates(docs).select("doc_id", "base", "wide"), "candidates")
+    trained = classifier(out)
     if trained is None:
         added = F.filter("wide", lambda s: F.lit(False))
     else:
@@ -245,5 +287,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select(
         "doc_id", *(count(k) for k in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), _joined(F.col("added")).alias("added"),
+        _joined(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), _joined(F.col("added")).alias("added"),
     )
