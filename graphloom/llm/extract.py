@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,11 +20,13 @@ from graphloom.llm.common import Scratch, in_arrow
 
 #: Share of a host's votes from which a path counts as agreed on; so a host has at most 1 / SHARE paths.
 SHARE = 0.05
+#: Hosts whose paths, some hundred bytes each, are broadcast at most.
+BROADCAST_HOSTS = 100_000
 #: Part of a container's weight that one child must hold for the search to go down to it.
 HOLDS = 0.6
 
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside form button select textarea input dialog menu map audio video".split())
+DROPPED = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside button select textarea input dialog menu map audio video".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -85,7 +88,7 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
         for name, a, b, c in _NAMES.findall(attributes):
             found.setdefault(name.lower(), a or b or c)
     if not found:
-        return Node(tag, parent, aside=tag in DROPPED or tag == "header" and not _in_article(parent), good=tag in WHOLE, boost={"article": 3.0, "main": 2.5}.get(tag, 1.0))
+        return Node(tag, parent, aside=tag in DROPPED or tag == "header" and not _in_article(parent), named=tag == "form", good=tag in WHOLE, boost={"article": 3.0, "main": 2.5}.get(tag, 1.0))
     parts = [{w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()) if w} for key in ("class", "id", "role") for part in found.get(key, "").split()]
     good = any(p & MAIN for p in parts) or tag in WHOLE
     # A name of an aside counts unless the element says otherwise: by its tag, by a name of the main text, or as a mere state.
@@ -93,15 +96,17 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     spared = sure or tag in ("body", "html", "main") or found.get("role") == "main"
     told = found.get("role", "").lower() in ASIDE or {"hidden"} in parts
     named = told and tag not in ("body", "html", "main") or not spared and any(p & ASIDE and not p & STATE for p in parts)
+    named = named or tag == "form"  # as for names, unless it wraps the page
     aside = tag in DROPPED or tag == "header" and not _in_article(parent)
     aside = aside or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
     names = " ".join(sorted(re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()))
     return Node(tag, parent, names, aside, named, sure or tag in WHOLE, {"article": 3.0, "main": 2.5}.get(tag, 1.5 if good else 1.0))
 
 
-def _in_article(node: Node | None, tags: tuple = ("article", "main")) -> bool:
+def _in_article(node: Node | None, tags: tuple = WHOLE) -> bool:
+    """Whether an element around says that it is the main text: by its tag, or where no tags are asked for in particular by its names."""
     while node is not None:
-        if node.tag in tags:
+        if node.tag in tags or tags is WHOLE and node.good and not node.aside and node.tag not in ("body", "html"):
             return True
         node = node.parent
     return False
@@ -150,7 +155,14 @@ def parse(page: str) -> Node:
 def _tree(page: str) -> Node:
     """A tree of elements and strings; tags left open end where their parent does."""
     root = node = Node("", None)
-    at = 0
+    at, opened = 0, Counter()
+
+    def left(node: Node, up: Node) -> None:
+        """Elements from ``node`` up to below ``up`` are open no more."""
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -164,28 +176,28 @@ def _tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                left(node, up.parent)
                 node = up.parent
             elif tag == "p":
                 node.children.append(Node("p", node))
             continue
         if tag in ("html", "body", "head"):
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
+            if opened[tag] > 0:
                 continue
             if tag == "body" and node.tag == "head":
+                left(node, node.parent)
                 node = node.parent
         ends = CLOSES.get(tag)
-        if ends:
+        if ends and any(opened[x] > 0 for x in ends):
             up = node
             while up.parent is not None and up.tag not in ends and up.tag not in SCOPE:
                 up = up.parent
             if up.tag in ends and up.parent is not None:
+                left(node, up.parent)
                 node = up.parent
         child = _open(tag, m[3] or m[6] or "", node)
         node.children.append(child)
@@ -195,6 +207,7 @@ def _tree(page: str) -> Node:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        opened[tag] += 1
         node = child
 
 
@@ -259,7 +272,7 @@ def text_of(nodes: list[Node]) -> str:
     run: list[str] = []
 
     def flush() -> None:
-        line = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+        line = _SPACE.sub(" ", "".join(run)).strip()
         if line:
             blocks.append(line)
         run.clear()
@@ -269,7 +282,7 @@ def text_of(nodes: list[Node]) -> str:
         while stack:
             n, leaving = stack.pop()
             if isinstance(n, str):
-                run.append(n)
+                run.append(html.unescape(n))  # a reference doesn't go on over a tag
             elif leaving:
                 flush()
             elif n.tag == "br":
@@ -318,8 +331,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Returns ``page_id``, ``url``, ``text``, ``n_chars`` and ``host``. Null and empty pages have an empty
     text; pages without a host share one, the empty one; a page on a host of its own votes alone. Rows
-    that repeat are extracted and vote each. Ties of votes go to the heavier, then the first path. An
-    empty table gives no rows. Other columns are not read.
+    that repeat are extracted and vote each. Ties of votes go to the heavier, then the first path. A page of
+    any length is taken whole, by one task. An empty table gives no rows. Other columns, of whatever name, are
+    not read. The agreed paths are at most ``1 / SHARE`` for each host; up to ``BROADCAST_HOSTS`` hosts they are
+    sent to the pages, beyond that pages and paths meet by a shuffle whose large hosts can be split.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
@@ -329,4 +344,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     agreed = counted.withColumn("all", F.sum("votes").over(own)).where(F.col("votes") >= SHARE * F.col("all"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("weight")).alias("w"), "path")))
     agreed = Scratch(pages.sparkSession).table(agreed.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths")), "paths")
+    agreed = F.broadcast(agreed) if agreed.count() <= BROADCAST_HOSTS else agreed
     return in_arrow(pages.join(agreed, "host", "left").select("page_id", "url", "html", "host", "paths"), _again, "page_id long, url string, text string, n_chars long, host string")

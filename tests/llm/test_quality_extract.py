@@ -1,3 +1,4 @@
+import time
 import random
 import zlib
 
@@ -120,3 +121,14 @@ def test_extraction_heeds_what_names_say_of_the_page(spark):
 
 def test_extraction_of_nothing(spark):
     assert extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_and_references():
+    """A form around the page, a header in the text's element, references cut by tags, ends without beginnings."""
+    long = "Sentence one of the article is here and long enough. " * 4
+    assert extract.extract(f"<body><form action=x><div class='main'><h1>T</h1><p>{long}</p><input name=a></div></form></body>", []) == f"T\n{long.strip()}"
+    assert extract.extract(f"<body><p>{long}</p><form>Your name <input> and address</form></body>", []) == long.strip()
+    assert extract.extract(f"<body><div class='post'><header><h1>Title</h1></header><p>{long}</p></div></body>", []) == f"Title\n{long.strip()}"
+    assert extract.extract(f"<p>&no<i>t;</i> a&amp;b {long}</p>", []) == f"&not; a&b {long.strip()}"
+    began = time.time()
+    assert extract.extract("<i>x" * 8000 + "</b>" * 8000, []) == "x" * 8000 and time.time() - began < 1
