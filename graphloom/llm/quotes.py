@@ -40,8 +40,10 @@ def passages(text: Column) -> Column:
     before = F.concat(F.array(F.lit(-1)), F.transform(marked, lambda x: x["level"]))
     pairs = F.arrays_zip(marked.alias("x"), F.slice(before, F.lit(1), F.size(marked)).alias("before"))
     joined = F.array_join(F.transform(pairs, lambda p: F.concat(F.when(p["x"]["level"] == p["before"], "\n").otherwise(F.concat(F.lit(_CUT), p["x"]["level"].cast("string"), F.lit("\n"))), p["x"]["line"])), "")
-    runs = F.slice(F.split(joined, _CUT), F.lit(2), F.size(F.split(joined, _CUT)))
-    return F.transform(runs, lambda r: F.struct(F.substring_index(r, "\n", 1).cast("int").alias("level"), F.split(F.substring(r, F.length(F.substring_index(r, "\n", 1)) + 2, F.length(r)), "\n").alias("lines")))
+    head = lambda r: F.substring_index(r, "\n", 1)
+    runs = F.transform(F.split(F.substring(joined, F.lit(2), F.length(joined)), _CUT), lambda r: F.struct(head(r).cast("int").alias("level"), F.split(F.substring(r, F.length(head(r)) + 2, F.length(r)), "\n").alias("lines")))
+    # A text without any mark is one passage of level 0: no need to go through its lines.
+    return F.when(text.rlike(r"(?m)^[ \t]*>"), runs).otherwise(F.array(F.struct(F.lit(0).alias("level"), lines.alias("lines"))))
 
 
 def normal(x: Column) -> Column:
@@ -54,10 +56,10 @@ def _hashes(found: Column, quoted: bool) -> Column:
     kind = F.filter(found, lambda p: (p["level"] > 0) if quoted else (p["level"] == 0))
     parts = lambda p: F.concat(F.array(F.array_join(p["lines"], " ")), p["lines"], F.split(F.array_join(p["lines"], " "), _SENTENCE))
     # As strings, level first: of these, unlike structs, distinct ones are found in linear time.
-    pieces = F.flatten(F.transform(kind, lambda p: F.transform(parts(p), lambda x: F.concat(p["level"].cast("string"), F.lit(":"), normal(x)))))
-    some = F.filter(F.array_distinct(pieces), lambda x: ~F.endswith(x, F.lit(":")))
-    text = lambda x: F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x))
-    return F.transform(some, lambda x: F.struct(F.unhex(F.md5(text(x))).alias("h"), F.length(text(x)).alias("size"), F.substring_index(x, ":", 1).cast("int").alias("level")))
+    raw = F.array_distinct(F.flatten(F.transform(kind, lambda p: F.transform(parts(p), lambda x: F.concat(p["level"].cast("string"), F.lit(":"), x)))))
+    level = lambda x: F.substring_index(x, ":", 1)
+    some = F.filter(F.array_distinct(F.transform(raw, lambda x: F.concat(level(x), F.lit(":"), normal(F.substring(x, F.length(level(x)) + 2, F.length(x)))))), lambda x: ~F.endswith(x, F.lit(":")))
+    return F.transform(some, lambda x: F.struct(F.unhex(F.md5(F.substring(x, F.length(level(x)) + 2, F.length(x)))).alias("h"), (F.length(x) - F.length(level(x)) - 1).alias("size"), level(x).cast("int").alias("level")))
 
 
 def _previous(keys: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def parents(messages: DataFrame) -> DataFrame:
     # One original for each passage and conversation, and one for each passage: the first that has it.
     here = own.groupBy("conv_id", "h").agg(F.min("turn").alias("there"))
     anywhere = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    asked = found.where(F.exists("p", lambda p: p["level"] > 0)).select("conv_id", "turn", F.explode(_hashes(F.col("p"), quoted=True)).alias("x")).select("conv_id", "turn", "x.*")
+    asked = messages.where(F.contains("text", F.lit(">"))).select("conv_id", "turn", passages(F.col("text")).alias("p")).select("conv_id", "turn", F.explode(_hashes(F.col("p"), quoted=True)).alias("x")).select("conv_id", "turn", "x.*")
     asked = asked.join(here, ["conv_id", "h"], "left").join(anywhere, "h", "left")
     near = F.when(F.col("there") < F.col("turn"), F.struct("conv_id", F.col("there").alias("turn")))
     far = F.when((F.col("first") < F.struct("conv_id", "turn")) & (F.col("size") >= LEAST), F.col("first"))
