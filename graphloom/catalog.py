@@ -167,7 +167,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT n.node_id, n.content, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
-    FROM nodes n JOIN embeddings v ON v.vec_id = n.key AND v.vec_id < 500, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE n.kind = 'S'
+    FROM nodes n JOIN embeddings v ON v.vec_id = n.key, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE n.kind = 'S'
     ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, n.node_id LIMIT 5""",
     uses="nodes",
 )
@@ -218,11 +218,12 @@ def seed_scores(spark: SparkSession, d: str) -> DataFrame:
     return search.seed_scores(mentions, top).select("node_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT DISTINCT 'P:' || l_partkey AS node_id FROM lineitem WHERE l_orderkey <= 100")
+@query("SELECT DISTINCT 'P:' || l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 def mentioned_nodes(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     mentions = line.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("node_id"))
-    return search.mentioned_nodes(mentions, mentions.where("chunk_id <= 100").select("chunk_id"))
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("chunk_id"))
+    return search.mentioned_nodes(mentions, urgent)
 
 
 # Resolution
@@ -361,18 +362,18 @@ def topk_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT DISTINCT 'S:' || l_suppkey || '>supplies>P:' || l_partkey AS edge_id, o_orderkey AS chunk_id, o_custkey AS document_id, c_name AS source_id, o_orderpriority AS content
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_suppkey <= 10"""
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 )
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
-    mentions = rel.edge_mentions(spark, d).where(F.regexp_extract("edge_id", r"S:(\d+)>", 1).cast("long") <= 10)
+    mentions = rel.edge_mentions(spark, d)
     chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.lit(0).alias("ordinal"), F.col("o_orderpriority").alias("content"))
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("source_id"))
     return graph.evidence(mentions, chunks, docs, "edge_id").drop("ordinal")
 
 
-@query("SELECT DISTINCT 'P:' || l_partkey AS node_id, o_custkey AS document_id, c_name AS source_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey <= 5")
+@query("SELECT DISTINCT 'P:' || l_partkey AS node_id, o_custkey AS document_id, c_name AS source_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def mentioning_documents(spark: SparkSession, d: str) -> DataFrame:
-    mentions = table(spark, d, "lineitem").where("l_partkey <= 5").select(F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("node_id"), F.col("l_orderkey").alias("chunk_id"))
+    mentions = table(spark, d, "lineitem").select(F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("node_id"), F.col("l_orderkey").alias("chunk_id"))
     chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.lit(0).alias("ordinal"), F.lit("").alias("content"))
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("source_id"))
     return graph.evidence(mentions, chunks, docs, "node_id").select("node_id", "document_id", "source_id").distinct()
@@ -666,3 +667,103 @@ def incident_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'semantic_single_hop' AS category, 30 AS n UNION ALL SELECT 'identifier_lexical', 30 UNION ALL SELECT 'multi_hop', 40 UNION ALL SELECT 'negative', 20")
 def incident_questions(spark: SparkSession, d: str) -> DataFrame:
     return readers.incident_cases(spark).groupBy("category").agg(F.count("*").cast("int").alias("n"))
+
+
+# Merging, leases and lookups by name
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size AS size, p_size > 25 AS large, 'x' AS kind FROM part")
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Fields keep their types: they are read back as numbers and booleans, and so is one of a nested object."""
+    part = table(spark, d, "part")
+    old = F.to_json(F.struct(F.col("p_size").alias("size"), F.lit("old").alias("brand"), F.lit("x").alias("kind")))
+    new = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.struct((F.col("p_size") > 25).alias("large")).alias("more")))
+    merged = F.parse_json(resolve.merged_json(old, new))
+    got = lambda path, kind: F.variant_get(merged, path, kind)
+    return part.select("p_partkey", got("$.brand", "string").alias("brand"), got("$.size", "int").alias("size"), got("$.more.large", "boolean").alias("large"), got("$.kind", "string").alias("kind"))
+
+
+@query("SELECT 'S:' || s_suppkey AS node_id, CASE WHEN s_suppkey = 1 THEN 'S:2,S:3,S:4' ELSE '' END AS merged FROM supplier WHERE s_suppkey NOT IN (2, 3, 4)")
+def chained_merge(spark: SparkSession, d: str) -> DataFrame:
+    nodes = rel.nodes(spark, d).where("node_id LIKE 'S:%'")
+    edges = rel.edges(spark, d).where("relation = 'located_in'").drop("support", "weight").withColumn("metadata", F.lit("{}"))
+    mentions, entities = spark.createDataFrame([], "edge_id string, chunk_id long"), spark.createDataFrame([], "chunk_id long, node_id string")
+    for source in ("S:2", "S:3", "S:4"):
+        nodes, edges, mentions, entities = resolve.merge(nodes, edges, mentions, entities, source, "S:1")
+    merged = F.variant_get(F.parse_json("metadata"), "$._merged_from", "array<string>")
+    return nodes.select("node_id", F.coalesce(F.array_join(merged, ","), F.lit("")).alias("merged"))
+
+
+@query("SELECT 'C:' || o_custkey AS src, 'P:' || o_orderpriority AS dst, 'orders' AS relation, CAST(count(*) AS DOUBLE) AS manual, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey, o_orderpriority")
+def triplets_twice(spark: SparkSession, d: str) -> DataFrame:
+    """What is stated again in one batch is summed, and the metadata of the last statement wins."""
+    stated = table(spark, d, "orders").select(F.concat(F.lit("C:"), F.col("o_custkey")).alias("src"), F.concat(F.lit("P:"), F.col("o_orderpriority")).alias("dst"), F.lit("orders").alias("relation"), F.lit(1.0).alias("weight"), F.to_json(F.struct(F.col("o_orderkey").alias("order"))).alias("metadata"), F.col("o_orderkey").alias("at"))
+    none = spark.createDataFrame([], "edge_id string, src string, dst string, relation string, manual double, metadata string")
+    return ingest.upsert_edges(none, stated).select("src", "dst", "relation", "manual", F.variant_get(F.parse_json("metadata"), "$.order", "bigint").alias("last_order"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'in_progress' ELSE 'pending' END AS status, o_orderdate AS expires FROM orders WHERE o_orderkey % 3 > 0),
+    w AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT k, CASE WHEN status = 'done' THEN 'done' WHEN status = 'in_progress' AND expires >= TIMESTAMP '1996-01-01' THEN 'in_progress' ELSE 'claimed' END AS outcome FROM w LEFT JOIN s USING (k)"""
+)
+def lease_claims(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumn("content_hash", F.col("o_orderkey").cast("string"))
+    key = {"provider": F.lit("p"), "model": F.lit("m"), "prompt_version": F.lit("1")}
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "in_progress").otherwise("pending")
+    state = orders.where("o_orderkey % 3 > 0").select("content_hash", *(v.alias(k) for k, v in key.items()), status.alias("status"), F.lit(None).cast(readers.TRIPLETS).alias("result"), F.lit("other").alias("lease_owner"), F.col("o_orderdate").cast("timestamp").alias("lease_expires_at"))
+    _, outcome = store.claim_extractions(state, orders.where("o_orderkey % 2 = 0").withColumns(key), "me", F.lit("1996-01-01").cast("timestamp"))
+    return outcome.select(F.col("content_hash").cast("long").alias("k"), "outcome")
+
+
+@query("SELECT chunk_id, content FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", uses="chunks")
+def active_only(spark: SparkSession, d: str) -> DataFrame:
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("status", F.lit("active"))
+    rows = rel.chunks(spark, d).join(good, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("retired")))
+    return store.active(rows).select("chunk_id", "content")
+
+
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, Callable[[str], list[float]]]:
+    """Nodes, of which suppliers and regions have vectors, and the vector of a name: that of its node."""
+    vecs = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n, key = vecs.count(), F.substring("node_id", 3, 20).cast("long")
+    at = F.when(F.col("node_id").startswith("S:"), key).when(F.col("node_id").startswith("R:"), n - 1 - key)
+    nodes = rel.nodes(spark, d).withColumn("vec_id", at).join(vecs, "vec_id", "left").drop("vec_id")
+    return nodes, lambda name: [float(v) for v in nodes.where((F.col("content") == name) & F.col("embedding").isNotNull()).orderBy("node_id").first()["embedding"]]
+
+
+def _contents(nodes: DataFrame, *ids: str) -> list[str]:
+    found = {r["node_id"]: r["content"] for r in nodes.where(F.col("node_id").isin(*ids)).collect()}
+    return [found[i] for i in ids]
+
+
+@query(_path_sql(_PATH, "('S:1'), ('S:2')", "SELECT 'R:' || r_regionkey FROM region", 5), uses="edges")
+def named_paths(spark: SparkSession, d: str) -> DataFrame:
+    nodes, embed = _named(spark, d)
+    regions = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]  # of a fixed number
+    return _path_text(retrieve.find_paths(nodes, rel.edges(spark, d), _contents(nodes, "S:1", "S:2"), regions, embed, _PATH, 5))
+
+
+@query(_walked(graph.Walk(hops=1), "('S:3', 1.0), ('S:2', 1.0)") + " SELECT node_id, hops, round(score, 9) AS score FROM reached", uses="edges")
+def named_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    nodes, embed = _named(spark, d)
+    out = retrieve.neighbourhood(nodes, rel.edges(spark, d), _contents(nodes, "S:3", "S:2"), embed, graph.Walk(hops=1))
+    return out.select("node_id", "hops", F.round("score", 9).alias("score"))
+
+
+@query(
+    """SELECT DISTINCT 'S:' || s_suppkey AS node_id, s_name AS content, o_custkey AS document_id, c_name AS source_id
+    FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_suppkey = 3"""
+)
+def entity_documents(spark: SparkSession, d: str) -> DataFrame:
+    nodes, embed = _named(spark, d)
+    mentions = table(spark, d, "lineitem").select(F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("node_id"), F.col("l_orderkey").alias("chunk_id"))
+    chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.lit(0).alias("ordinal"), F.lit("").alias("content"))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("source_id"))
+    return retrieve.entity(nodes, mentions, chunks, docs, _contents(nodes, "S:3")[0], embed)
+
+
+@query("SELECT 'N:' || c_nationkey AS run_id, count(*) AS node_count, count(DISTINCT c_mktsegment) AS community_count FROM customer GROUP BY c_nationkey")
+def community_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("run_id"), F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("community_id"))
+    return communities.report(rows, ["run_id"])

@@ -72,6 +72,11 @@ def communities(nodes: DataFrame, edges: DataFrame, by: list[str], passes: int =
     return rows.groupBy(*by).applyInPandas(run, f"{kinds}, node_id string, community_id string, converged boolean, passes int")
 
 
+def report(memberships: DataFrame, by: list[str]) -> DataFrame:
+    """For each run its ``node_count`` and ``community_count``."""
+    return memberships.groupBy(*by).agg(F.count("*").alias("node_count"), F.count_distinct("community_id").alias("community_count"))
+
+
 def members(memberships: DataFrame, by: list[str]) -> DataFrame:
     """Members of each community in order, the largest community first."""
     out = memberships.groupBy(*by, "community_id").agg(F.sort_array(F.collect_list("node_id")).alias("members"), F.count("*").alias("member_count"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.functions import text
 
@@ -90,6 +94,49 @@ def verdicts(cases: DataFrame) -> DataFrame:
     return out.withColumn("verdict", verdict).withColumn("quote", F.when(F.col("verdict") == "supported", F.col("quote"))).drop("_cited", "_all")
 
 
+def parsed_claims(said: Column) -> Column:
+    """Claims from a model's JSON, a list of objects with a ``text`` and a list of ``citations``; null where it has another shape."""
+    out = F.from_json(said, "array<struct<text:string,citations:array<string>>>")
+    whole = F.forall(out, lambda c: F.coalesce((F.trim(c["text"]) != "") & c["citations"].isNotNull(), F.lit(False)))
+    return F.when(whole, F.transform(out, lambda c: F.struct(text.normalize(c["text"]).alias("text"), F.filter(c["citations"], lambda m: m.isNotNull()).alias("citations"))))
+
+
+def model_verdicts(checked: DataFrame, verify: Callable[[list[dict]], list[dict]], strict: bool = False) -> DataFrame:
+    """``checked`` with a model's word on claims that the rules left as ``evidence_insufficient``.
+
+    ``verify`` gets such claims by batches, each a dict of ``claim`` and ``passages`` (the cited ones), and
+    returns as many dicts of ``verdict``, ``reason`` and ``quote``. A claim counts as supported only if the
+    quote is found in a cited passage. Where the call fails or answers in another shape its claims stay
+    insufficient, for the reason ``verifier_failed``; with ``strict`` it raises.
+    """
+    names = checked.columns
+    cited = F.flatten(F.transform("citations", lambda c: F.transform(F.filter("evidence", lambda e: e["marker"] == c), lambda e: e["content"])))
+    is_open = F.col("reason") == "evidence_insufficient"
+    rows = checked.where(is_open).withColumn("_passages", cited)
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            asked = [{"claim": c, "passages": list(p)} for c, p in zip(pdf["claim"], pdf["_passages"], strict=True)]
+            try:
+                said = [(str(x["verdict"]), str(x["reason"]), x.get("quote")) for x in verify(asked)] if asked else []
+                if len(said) != len(asked):
+                    raise ValueError("the verifier left claims out")
+            except Exception:  # a provider may fail in any way
+                if strict:
+                    raise
+                said = [("insufficient", "verifier_failed", None)] * len(asked)
+            yield pdf.assign(_said=[{"verdict": v, "reason": r, "quote": q} for v, r, q in said])
+
+    kind = StructType([*rows.schema.fields, StructField("_said", StructType([StructField(n, StringType()) for n in ("verdict", "reason", "quote")]))])
+    said = rows.mapInPandas(call, kind)
+    located = F.filter(F.transform("_passages", lambda p: quote(F.col("_said.quote"), p)), lambda q: q.isNotNull())
+    held = (F.col("_said.verdict") == "supported") & (F.size(located) > 0)
+    verdict = F.when(held, "supported").when(F.col("_said.verdict") == "contradicted", "contradicted").otherwise("insufficient")
+    reason = F.when((F.col("_said.verdict") == "supported") & ~F.coalesce(held, F.lit(False)), "quote_not_in_evidence").otherwise(F.col("_said.reason"))
+    said = said.withColumns({"verdict": verdict, "reason": reason, "quote": F.when(held, F.get(located, 0))})
+    return checked.where(~is_open).select(*names).unionByName(said.select(*names))
+
+
 def policy(checked: DataFrame, mode: str, answer: str = "answer_id") -> DataFrame:
     """The status of each answer from its claims' verdicts (rows without ``verdict`` are answers without claims)."""
     if mode not in MODES:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vectors
@@ -13,15 +13,26 @@ TRIGRAM_THRESHOLD, COSINE_THRESHOLD = 0.4, 0.9
 def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
     """Names of ``left`` and ``right`` (``name``) that are similar enough: ``name``, ``other``, ``similarity``.
 
-    Names meet only on a common trigram, and the size of the union follows from both sizes and the
-    count of common trigrams, so no name is compared with all others. Trigram sets whose sizes differ
-    by more than the threshold allows don't meet.
+    With trigrams in one order of rarity, two sets that share enough meet in one of the first
+    ``n - ceil(threshold n) + 1`` of each. Only those are joined: a trigram that very many names have is
+    among the first of few. Sets whose sizes differ by more than the threshold allows don't meet.
     """
     cut = lambda df: df.select("name").distinct().withColumn("t", text.trigrams(F.col("name"))).select("name", F.size("t").alias("n"), F.explode("t").alias("t"))
-    x, y = cut(left).alias("x"), cut(right).alias("y")
+    x, y = cut(left), cut(right)
+    counts = x.select("t").unionByName(y.select("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def heads(rows: DataFrame) -> DataFrame:
+        ranked = rows.join(counts, "t").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("own"))
+        length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+        return ranked.select("name", "n", F.explode(F.slice("own", F.lit(1), length.cast("int"))["t"]).alias("t"))
+
+    a, b = heads(x).alias("x"), heads(y).alias("y")
     sized = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
-    both = x.join(y, (F.col("x.t") == F.col("y.t")) & sized).groupBy(F.col("x.name").alias("name"), F.col("y.name").alias("other"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("both"))
-    return both.withColumn("similarity", F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).where(F.col("similarity") >= threshold).select("name", "other", "similarity")
+    met = a.join(b, (F.col("x.t") == F.col("y.t")) & sized).select(F.col("x.name").alias("name"), F.col("y.name").alias("other")).distinct()
+    one, two = text.trigrams(F.col("name")), text.trigrams(F.col("other"))
+    both = F.size(F.array_intersect(one, two))
+    out = met.withColumn("similarity", both / (F.size(one) + F.size(two) - both))
+    return out.where(F.col("similarity") >= threshold).select("name", "other", "similarity")
 
 
 def best_matches(wanted: DataFrame, known: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
@@ -31,12 +42,23 @@ def best_matches(wanted: DataFrame, known: DataFrame, threshold: float = TRIGRAM
     return trigram_pairs(plain, known, threshold).withColumn("rank", F.row_number().over(own)).where("rank = 1").drop("rank")
 
 
-def merged_json(old, new):
-    """Shallow merge of two JSON objects as text, right wins; null counts as empty."""
-    parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    a, b = parse(old), parse(new)
-    kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
-    return F.to_json(F.map_concat(kept, b))
+def fields(x: Column) -> Column:
+    """The fields of a JSON object as text, each of its own type; null counts as empty."""
+    kind = "map<string,variant>"
+    return F.coalesce(F.from_json(x, kind), F.from_json(F.lit("{}"), kind))
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """Shallow merge of two JSON objects as text, right wins; numbers, booleans, lists and objects stay what they are."""
+    a, b = fields(old), fields(new)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
+def history(metadata: Column, source: str) -> Column:
+    """``metadata`` with ``source`` added to the list ``_merged_from``; a single name from before counts as a list of one."""
+    before = fields(metadata)["_merged_from"]
+    listed = F.coalesce(F.try_variant_get(before, "$", "array<string>"), F.when(before.isNotNull(), F.array(F.try_variant_get(before, "$", "string"))), F.array().cast("array<string>"))
+    return merged_json(metadata, F.to_json(F.struct(F.array_append(listed, F.lit(source)).alias("_merged_from"))))
 
 
 def resolve(entities: DataFrame, nodes: DataFrame, fuzzy: bool = True, trigram_threshold: float = TRIGRAM_THRESHOLD, cosine_threshold: float = COSINE_THRESHOLD) -> DataFrame:
@@ -75,19 +97,23 @@ def merge(nodes: DataFrame, edges: DataFrame, edge_mentions: DataFrame, entity_m
     """Nodes, edges and mentions after ``source`` has become ``target``.
 
     Edges of the source go to the target, those that become equal are folded, those that would become
-    self-loops are dropped; mentions follow without repeats; the target's metadata remembers the source
-    under ``_merged_from``. An unknown node is an error, merging a node with itself changes nothing.
+    self-loops are dropped; mentions follow without repeats; the target's metadata lists its sources, the
+    latest last, under ``_merged_from``. An unknown node is an error, merging a node with itself changes nothing.
     """
     if source == target:
         return nodes, edges, edge_mentions, entity_mentions
     if nodes.where(F.col("node_id").isin(source, target)).select("node_id").distinct().count() < 2:
         raise ValueError("both nodes must exist")
     to = lambda c: F.when(F.col(c) == source, target).otherwise(F.col(c))
-    moved = edges.withColumn("src", to("src")).withColumn("dst", to("dst"))
+    # Only edges of the two nodes can change or become equal.
+    touched = F.col("src").isin(source, target) | F.col("dst").isin(source, target)
+    moved = edges.where(touched).withColumn("src", to("src")).withColumn("dst", to("dst"))
     moved = folded(moved.where((F.col("src") != F.col("dst")) | (F.col("src") != target)))
     renamed = moved.select("edge_id", F.explode("was").alias("old"))
-    mentions = edge_mentions.join(renamed, edge_mentions["edge_id"] == renamed["old"]).select(renamed["edge_id"], "chunk_id").distinct()
+    gone = edges.where(touched).select("edge_id")
+    mentions = edge_mentions.join(renamed, edge_mentions["edge_id"] == renamed["old"]).select(renamed["edge_id"], "chunk_id")
+    mentions = edge_mentions.join(gone, "edge_id", "left_anti").select("edge_id", "chunk_id").unionByName(mentions).distinct()
+    moved = edges.where(~touched).select(*moved.drop("was").columns).unionByName(moved.drop("was"))
     entities = entity_mentions.withColumn("node_id", to("node_id")).distinct()
-    history = F.to_json(F.map_concat(F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>"), F.create_map(F.lit("_merged_from"), F.lit(source))))
-    left = nodes.where(F.col("node_id") != source).withColumn("metadata", F.when(F.col("node_id") == target, history).otherwise(F.col("metadata")))
-    return left, moved.drop("was"), mentions, entities
+    left = nodes.where(F.col("node_id") != source).withColumn("metadata", F.when(F.col("node_id") == target, history(F.col("metadata"), source)).otherwise(F.col("metadata")))
+    return left, moved, mentions, entities

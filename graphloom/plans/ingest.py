@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators.resolve import folded, merged_json, resolve
+from graphloom.operators.resolve import merged_json, resolve
 from graphloom.sources import readers
 from graphloom.sources.store import TenantSession, make_id, replace_chunks, unfinished, upsert_documents
 
@@ -75,7 +75,10 @@ def edge_id(src: Column, dst: Column, relation: Column) -> Column:
 
 
 def wired(found: DataFrame, nodes: DataFrame, provider: Provider, fuzzy: bool = True) -> dict[str, DataFrame]:
-    """Nodes, edges and mentions that ``found`` (``chunk_id``, ``subject``, ``predicate``, ``object``) adds to ``nodes``."""
+    """Nodes, edges and mentions that ``found`` (``chunk_id``, ``subject``, ``predicate``, ``object``) adds to ``nodes``.
+
+    ``links`` has a row for each row of ``found`` that is no self-loop, with its further columns.
+    """
     names = found.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("at", F.col("name"))
     mapped = resolve(provider.embedded(names, "name"), nodes, fuzzy).select("name", "content", "how")
     node = lambda c: make_id(F.col(c))
@@ -85,9 +88,9 @@ def wired(found: DataFrame, nodes: DataFrame, provider: Provider, fuzzy: bool =
     a, b = ids.select(F.col("name").alias("subject"), F.col("node_id").alias("src")), ids.select(F.col("name").alias("object"), F.col("node_id").alias("dst"))
     links = found.join(a, "subject").join(b, "object")
     entity_mentions = links.select("chunk_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    links = links.where("src <> dst").select("chunk_id", "src", "dst", F.col("predicate").alias("relation")).withColumn("edge_id", edge_id(F.col("src"), F.col("dst"), F.col("relation")))
+    links = links.where("src <> dst").withColumnRenamed("predicate", "relation").drop("subject", "object").withColumn("edge_id", edge_id(F.col("src"), F.col("dst"), F.col("relation")))
     edges = links.select("edge_id", "src", "dst", "relation").distinct().withColumn("manual", F.lit(0.0)).withColumn("metadata", F.lit("{}"))
-    return {"nodes": fresh.select("node_id", "content", "embedding", "metadata"), "edges": edges, "entity_mentions": entity_mentions, "edge_mentions": links.select("chunk_id", "edge_id").distinct()}
+    return {"nodes": fresh.select("node_id", "content", "embedding", "metadata"), "edges": edges, "entity_mentions": entity_mentions, "edge_mentions": links.select("chunk_id", "edge_id").distinct(), "links": links}
 
 
 def _added(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -147,17 +150,27 @@ def retry(session: TenantSession, namespace: str, provider: Provider) -> DataFra
 
 
 def add_triplets(session: TenantSession, namespace: str, triplets: DataFrame, provider: Provider) -> None:
-    """Facts stated by hand: edges of manual weight 1 each, summed where stated again."""
-    found = triplets.select(F.lit("manual").alias("chunk_id"), "subject", "predicate", "object")
+    """Facts stated by hand: ``subject``, ``predicate``, ``object`` and if given ``weight`` (else 1) and ``metadata``.
+
+    Weights of what is stated again, in one call or a later one, are summed; of its metadata the later fields win.
+    """
+    more = {"weight": F.lit(1.0), "metadata": F.lit("{}")}
+    found = triplets.select(F.lit("manual").alias("chunk_id"), "subject", "predicate", "object", *((c if c in triplets.columns else v.alias(c)) for c, v in more.items()))
+    found = found.withColumn("at", F.monotonically_increasing_id())
     new = wired(found, session.scan("nodes", namespace), provider)
-    stated = new["edges"].withColumn("manual", F.lit(1.0))
-    edges = folded(session.scan("edges", namespace).drop("tenant_id", "namespace").unionByName(stated, allowMissingColumns=True)).drop("was")
+    edges = upsert_edges(session.scan("edges", namespace).drop("tenant_id", "namespace"), new["links"].select("src", "dst", "relation", "weight", "metadata", "at"))
     session.write({"nodes": _added(session.scan("nodes", namespace).drop("tenant_id", "namespace"), new["nodes"], ["node_id"]), "edges": edges}, namespace)
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` edges with ``new`` ones (``src``, ``dst``, ``relation``, ``weight``, ``metadata``) added to their manual weights."""
-    summed = new.groupBy("src", "dst", "relation").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("added"), F.max("metadata").alias("new_metadata"))
+    """``old`` edges with ``new`` ones (``src``, ``dst``, ``relation``, ``weight``, ``metadata``) added to their manual weights.
+
+    Rows of ``new`` for one edge are summed, and their metadata merged in the order of ``at``, if there is
+    such a column, or else of the rows; later fields win.
+    """
+    new = new if "at" in new.columns else new.withColumn("at", F.monotonically_increasing_id())
+    summed = new.groupBy("src", "dst", "relation").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("added"), F.sort_array(F.collect_list(F.struct("at", "metadata"))).alias("all"))
+    summed = summed.withColumn("new_metadata", F.aggregate("all", F.lit("{}"), lambda a, e: merged_json(a, e["metadata"]))).drop("all")
     both = old.join(summed, ["src", "dst", "relation"], "full_outer")
     return both.select(
         F.coalesce("edge_id", edge_id(F.col("src"), F.col("dst"), F.col("relation"))).alias("edge_id"), "src", "dst", "relation",

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import text, vectors
 from graphloom.functions.filters import compiled
 from graphloom.operators import graph, grounding, search
+from graphloom.sources.store import active
+
+Embed = Callable[[str], list[float]]
 
 MODES = ("vector", "hybrid", "hybrid_graph")
 
@@ -47,6 +50,7 @@ class Retrieved:
 
     def context(self) -> str:
         """The text that a model is shown."""
+        # The titles of the sections and the form of their lines.
         if not self.chunks and not self.nodes:
             return "No relevant context found."
         parts = ["Relevant Passages:", *(f"- [{c['source_id']}#{c['ordinal']}] {c['content']}" for c in self.chunks)]
@@ -100,7 +104,7 @@ def retrieve(tables: dict[str, DataFrame], question: str, query: list[float], ho
     how = how or Retrieval()
     if not question.strip():
         raise ValueError("the question is empty")
-    chunks = tables["chunks"].where(compiled(F.col("metadata"), how.walk.metadata))
+    chunks = active(tables["chunks"]).where(compiled(F.col("metadata"), how.walk.metadata))
     vector = vectors.literal(query)
     if how.mode == "vector":
         best = search.semantic(chunks, vector, how.top_k).withColumn("rrf_score", 1.0 / (search.RRF + F.col("sem_rank")))
@@ -128,7 +132,7 @@ def retrieve(tables: dict[str, DataFrame], question: str, query: list[float], ho
     shown, left = _take([r.asDict() for r in edges.collect()], lambda e: f"{e['src_content']} {e['relation']} {e['dst_content']}", left)
     if shown:
         asserted = tables["edge_mentions"].where(F.col("edge_id").isin([e["edge_id"] for e in shown])).select("chunk_id").distinct()
-        more = tables["chunks"].join(asserted, "chunk_id").drop("embedding").orderBy("source_id", "ordinal").limit(how.max_context_edges)
+        more = active(tables["chunks"]).join(asserted, "chunk_id").drop("embedding").orderBy("source_id", "ordinal").limit(how.max_context_edges)
         have = {c["chunk_id"] for c in kept}
         extra, left = _take([r.asDict() | {"rrf_score": 0.0} for r in more.collect() if r["chunk_id"] not in have], lambda r: r["content"], left)
         kept += extra
@@ -173,7 +177,7 @@ def answer(tables: dict[str, DataFrame], question: str, query: list[float], gene
 
 def named(nodes: DataFrame, vector: list[float]) -> str | None:
     """The node whose vector is nearest."""
-    row = vectors.nearest(nodes.select("node_id", "embedding"), vectors.literal(vector), 1, "node_id").first()
+    row = vectors.nearest(nodes.where("embedding is not null").select("node_id", "embedding"), vectors.literal(vector), 1, "node_id").first()
     return row["node_id"] if row else None
 
 
@@ -188,3 +192,30 @@ def explain_connection(nodes: DataFrame, edges: DataFrame, first: list[float], s
     for step in row["path"][1:]:
         out += f" --{step['relation']}--> {names[step['node_id']]}"
     return out
+
+
+def _nearest(nodes: DataFrame, names: list[str], embed: Embed) -> DataFrame:
+    """The nodes nearest to the names, one for each: ``node_id``."""
+    found = [n for n in (named(nodes, embed(name)) for name in names) if n]
+    return nodes.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(found)], "node_id string")
+
+
+def find_paths(nodes: DataFrame, edges: DataFrame, sources: list[str], targets: list[str], embed: Embed, walk: graph.Walk | None = None, k: int = 5) -> DataFrame:
+    """The ``k`` best paths between entities given by name, each the node nearest to it."""
+    return graph.top_paths(nodes, edges, _nearest(nodes, sources, embed), _nearest(nodes, targets, embed), walk, k)
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, names: list[str], embed: Embed, walk: graph.Walk | None = None) -> DataFrame:
+    """What lies around entities given by name: ``node_id``, ``hops``, ``score``; each name starts with score 1."""
+    return graph.traverse(nodes, edges, _nearest(nodes, names, embed).withColumn("score", F.lit(1.0)), walk)
+
+
+def entity(nodes: DataFrame, entity_mentions: DataFrame, chunks: DataFrame, documents: DataFrame, name: str, embed: Embed) -> DataFrame:
+    """The node nearest to a name with the documents that mention it, a row for each: ``node_id``, ``content``, ``document_id``, ``source_id``.
+
+    Documents are null where none mentions it; no row where there are no nodes.
+    """
+    node = _nearest(nodes, [name], embed).join(nodes.select("node_id", "content"), "node_id")
+    mentions = entity_mentions.join(node.select("node_id"), "node_id", "left_semi")
+    found = graph.evidence(mentions, chunks, documents, "node_id").select("node_id", "document_id", "source_id").distinct()
+    return node.join(found, "node_id", "left")

@@ -64,7 +64,7 @@ SQL = {
         SELECT doc_id, lang AS tenant_id, source AS namespace, k AS ordinal, substr(text, k * 900 + 1, 1000) AS content, doc_id || ':' || k AS chunk_id
         FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 900.0) AS BIGINT))) AS k FROM documents)""",
     "embedded": """
-        SELECT c.*, v.embedding FROM chunks c JOIN embeddings v ON v.vec_id = c.doc_id % 500 AND v.vec_id < 500""",
+        SELECT c.*, v.embedding FROM chunks c JOIN embeddings v ON v.vec_id = c.doc_id % (SELECT count(*) FROM embeddings)""",
     "nodes": """
         SELECT 'R:' || r_regionkey AS node_id, r_name AS content, 'R' AS kind, r_regionkey AS key FROM region
         UNION ALL SELECT 'N:' || n_nationkey, n_name, 'N', n_nationkey FROM nation

@@ -1,5 +1,6 @@
 """Behaviour of the engine's operators on small hand-made inputs."""
 
+import json
 import math
 
 import pytest
@@ -308,3 +309,120 @@ def test_vectors_of_all_nodes_and_chunks(spark, tmp_path):
     near = {f"{i}:0" for i in (0, 5, 697, 698, 699, 700, 705, 1397, 1398, 1399)}
     assert {r["chunk_id"] for r in catalog.QUERIES["semantic_chunks"](spark, str(tmp_path)).collect() if r["sem_rank"] <= 10} == near
     assert {r["chunk_id"] for r in catalog.QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect()} == near
+
+
+def test_merged_metadata(spark):
+    """Types survive a merge, and a node remembers all that were merged into it, in order."""
+    rows = spark.createDataFrame([('{"a":{"b":1},"n":5,"t":true,"x":[1,"2"]}', '{"n":"6"}'), (None, '{"q":1.5}'), ("{}", None)], "a string, b string")
+    assert [json.loads(r[0]) for r in rows.select(resolve.merged_json(F.col("a"), F.col("b"))).collect()] == [{"a": {"b": 1}, "n": "6", "t": True, "x": [1, "2"]}, {"q": 1.5}, {}]
+    old = spark.createDataFrame([("{}",), ('{"_merged_from":"E","k":1}',), ('{"_merged_from":["E","F"]}',)], "m string")
+    got = [json.loads(r[0]) for r in old.select(resolve.history(F.col("m"), "G")).collect()]
+    assert got == [{"_merged_from": ["G"]}, {"k": 1, "_merged_from": ["E", "G"]}, {"_merged_from": ["E", "F", "G"]}]
+
+
+def test_triplets_stated_again(spark, tmp_path):
+    session, provider = Store(spark, f"file://{tmp_path}/store").create(4).tenant("t"), Provider(4)
+    rows = [("A", "uses", "B", 1.0, '{"x":1,"y":1}'), ("A", "uses", "B", 2.0, '{"y":2}')]
+    add_triplets(session, "ns", spark.createDataFrame(rows, "subject string, predicate string, object string, weight double, metadata string").coalesce(1), provider)
+    add_triplets(session, "ns", spark.createDataFrame([("A", "uses", "B")], "subject string, predicate string, object string"), provider)
+    (edge,) = session.scan("edges", "ns").collect()
+    assert edge["manual"] == 4.0 and json.loads(edge["metadata"]) == {"x": 1, "y": 2}
+
+
+def test_writers_and_crashes(spark, tmp_path):
+    """Two writers don't lose each other's change, a dead writer's lock runs out, a crash leaves the store as it was."""
+    root = f"file://{tmp_path}/store"
+    store = Store(spark, root).create(4)
+    node = lambda i: spark.createDataFrame([(i, i, [0.0] * 4, "{}")], "node_id string, content string, embedding array<float>, metadata string")
+    store.tenant("a").write({"nodes": node("1")}, "ns")
+    before = {str(p) for p in (tmp_path / "store" / "nodes").iterdir()}
+    Store(spark, root).tenant("b").write({"nodes": node("2")}, "ns")
+    assert len({str(p) for p in (tmp_path / "store" / "nodes").iterdir()} - before) == 1  # only the own partition is written
+    assert store.read("nodes").count() == 2 and [r["node_id"] for r in store.tenant("a").scan("nodes").collect()] == ["1"]
+    assert store._lock("dead")
+    with pytest.raises(RuntimeError):
+        Store(spark, root).tenant("a").write({"nodes": node("3")}, "ns")
+    assert store.tenant("a").scan("nodes").first()["node_id"] == "1"
+    store._fs.delete(store._path("writer.lock"), False)
+    store.lease_seconds = -1
+    assert store._lock("dead")
+    Store(spark, root).tenant("a").write({"nodes": node("3")}, "ns")
+    assert store.tenant("a").scan("nodes").first()["node_id"] == "3"
+    with pytest.raises(ZeroDivisionError):
+        store.locked(lambda: 1 / 0)
+    (tmp_path / "store" / "manifests" / "half.new").write_text("{")
+    assert store.status()["ready"] and Store(spark, root).create(4).read("nodes").count() == 2
+    with pytest.raises(RuntimeError):
+        store._put(2, {})
+
+
+def test_leases(spark):
+    """Claimed once, taken over after expiry, given back on failure; who lost a lease writes nothing."""
+    from graphloom.sources.store import EXTRACTION, claim_extractions, finish_extractions
+
+    at = lambda s: F.lit(f"2026-01-01 00:{s:02d}:00").cast("timestamp")
+    kind = "content_hash string, provider string, model string, prompt_version string, status string, result array<struct<subject:string,predicate:string,object:string>>, lease_owner string, lease_expires_at timestamp"
+    wanted = spark.createDataFrame([(h, "p", "m", "1") for h in "xyy"], ", ".join(f"{c} string" for c in EXTRACTION))
+    outcome = lambda df: {r["content_hash"]: r["outcome"] for r in df.collect()}
+    state, got = claim_extractions(spark.createDataFrame([], kind), wanted, "one", at(0))
+    assert outcome(got) == {"x": "claimed", "y": "claimed"}
+    state, got = claim_extractions(state, wanted, "two", at(4))
+    assert outcome(got) == {"x": "in_progress", "y": "in_progress"}
+    results = spark.createDataFrame([("x", "p", "m", "1", True, [("A", "p", "B")]), ("y", "p", "m", "1", False, [])], "content_hash string, provider string, model string, prompt_version string, ok boolean, result array<struct<subject:string,predicate:string,object:string>>")
+    late, _ = claim_extractions(state, wanted, "two", at(6))
+    assert {r["status"] for r in finish_extractions(late, results, "one").collect()} == {"in_progress"}
+    state = finish_extractions(state, results, "one")
+    _, got = claim_extractions(state, wanted, "two", at(4))
+    assert outcome(got) == {"x": "done", "y": "claimed"}
+
+
+def test_model_verifier(spark):
+    """Only open claims are sent; a quote must be in a cited passage; a failing call leaves claims insufficient."""
+    evidence = [("[a#0]", "Alpha began in spring and ended in May."), ("[b#0]", "Nothing here.")]
+    rows = [("x", k, evidence, claim, ["[a#0]"]) for k, claim in enumerate(["Alpha began in spring and ended in May", "Alpha started before summer", "Alpha never ended"])]
+    checked = grounding.verdicts(spark.createDataFrame(rows, "answer_id string, at int, evidence array<struct<marker:string,content:string>>, claim string, citations array<string>"))
+
+    def verify(asked):
+        assert all(a["passages"] == ["Alpha began in spring and ended in May."] for a in asked)
+        return [{"verdict": "supported", "reason": "implied", "quote": "began in spring" if "summer" in a["claim"] else "not there"} for a in asked]
+
+    got = {r["at"]: (r["verdict"], r["reason"], r["quote"]) for r in grounding.model_verdicts(checked, verify).collect()}
+    assert got[0][0] == "supported" and got[1] == ("supported", "implied", "began in spring") and got[2] == ("insufficient", "quote_not_in_evidence", None)
+    failed = {r["at"]: (r["verdict"], r["reason"]) for r in grounding.model_verdicts(checked, lambda asked: []).collect()}
+    assert failed[1] == ("insufficient", "verifier_failed") and failed[0][0] == "supported"
+    said = spark.createDataFrame([('[{"text":" A  b ","citations":["[a#0]"]}]',), ('[{"text":"A"}]',), ("no",)], "s string").select(grounding.parsed_claims(F.col("s")).alias("c")).collect()
+    assert [tuple(x) for x in said[0]["c"]] == [("A b", ["[a#0]"])] and said[1]["c"] is None and said[2]["c"] is None
+
+
+def test_community_runs_and_modes(spark, tmp_path):
+    """A run only where the graph has changed; summaries kept while their evidence is; modes side by side; lookups by name."""
+    from graphloom.plans import community, evaluate
+
+    store = Store(spark, f"file://{tmp_path}/store").create(16)
+    session, provider = store.tenant("t"), Provider(16)
+    docs = spark.createDataFrame([("d1", "Alpha depends_on Beta. It is fine."), ("d2", "Beta owned_by Team. Rest.")], "source_id string, text string")
+    add_documents(session, "ns", docs, provider)
+    run = community.detect(session, "ns")
+    assert run and community.detect(session, "ns") is None and community.latest_run(session, "ns") == run
+    assert session.scan("community_runs", "ns").first()["node_count"] == 3
+    said = []
+    first = community.summarise(session, "ns", lambda e: e.upper())
+    assert not any(r["reused"] for r in first.collect()) and all(r["reused"] for r in community.summarise(session, "ns", said.append).collect()) and not said
+    tables = {t: session.scan(t, "ns") for t in ("nodes", "entity_mentions", "edge_mentions", "chunks", "documents")}
+    tables["edges"] = graph.supported(session.scan("edges", "ns"), tables["edge_mentions"])
+    tables["chunks"] = tables["chunks"].join(tables["documents"].select("document_id", "source_id"), "document_id")
+    embed = lambda x: one(spark, text.embedding(F.lit(x), 16))
+    cases = spark.createDataFrame([("c1", "single", "what does Alpha depends_on", ["Beta"], ["depends_on"], ["d1"], [], False, 1)], "case_id string, category string, question string, expected array<string>, relations array<string>, sources array<string>, forbidden array<string>, abstain boolean, max_hops int")
+    scored = evaluate.modes(tables, cases, embed, which=("vector", "hybrid_graph"))
+    out = evaluate.report(scored, f"file://{tmp_path}/report")
+    assert {r["mode"]: r["recall_at_5"] for r in out["modes"].collect()} == {"vector": 1.0, "hybrid_graph": 1.0}
+    assert spark.read.json(f"file://{tmp_path}/report/latency").count() == 2
+    found = retrieve.entity(tables["nodes"], tables["entity_mentions"], tables["chunks"].drop("source_id"), tables["documents"], "Beta", embed)
+    assert sorted(r["source_id"] for r in found.collect()) == ["d1", "d2"]
+    assert retrieve.find_paths(tables["nodes"], tables["edges"], ["Alpha"], ["Team"], embed).first()["depth"] == 2
+    assert retrieve.explain_connection(tables["nodes"], tables["edges"], embed("Alpha"), embed("Team")) == "Alpha --depends_on--> Beta --owned_by--> Team"
+    assert retrieve.neighbourhood(tables["nodes"], tables["edges"], ["Alpha"], embed, graph.Walk(hops=1)).count() == 2
+    gone = tables | {"chunks": tables["chunks"].withColumn("status", F.lit("retired"))}
+    assert not retrieve.retrieve(gone, "what does Alpha depends_on", embed("Alpha")).chunks
+    with pytest.raises(ValueError):
+        store.preflight(8)
