@@ -107,8 +107,10 @@ def normalize_hash(spark: SparkSession, d: str) -> DataFrame:
     sum(CASE WHEN CAST('0x' || substr(sha256(w), 9, 2) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS total FROM t GROUP BY ALL"""
 )
 def token_feature_hash(spark: SparkSession, d: str) -> DataFrame:
-    slots = table(spark, d, "documents").select("doc_id", F.explode(text.feature_slots(F.col("text"), 64)).alias("s"))
-    return slots.groupBy("doc_id", F.col("s.slot").alias("slot")).agg(F.sum("s.sign").alias("total"))
+    # Each distinct token of a document is hashed once, as often as it may stand there.
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("token")).groupBy("doc_id", "token").count()
+    slots = tokens.select("doc_id", "count", text.feature_slot(F.col("token"), 64).alias("s"))
+    return slots.groupBy("doc_id", F.col("s.slot").alias("slot")).agg(F.sum(F.col("s.sign") * F.col("count")).alias("total"))
 
 
 @query(
@@ -516,13 +518,16 @@ def global_overlap(spark: SparkSession, d: str) -> DataFrame:
 # Grounding and evaluation
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, trim(rtrim(b.text, '.')))")
+_LOOSE = "regexp_replace(lower({0}), '[-_.]+', ' ', 'g')"
+
+
+@query(
+    f"""WITH i AS (SELECT item_id, trim(regexp_replace(text, '\\.+$', '')) AS bare FROM benchmark)
+    SELECT item_id, doc_id FROM i JOIN documents d ON bare <> '' AND (contains(d.text, bare) OR contains({_LOOSE.format("d.text")}, {_LOOSE.format("bare")}))"""
+)
 def quote_location(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    bare = F.trim(F.regexp_replace("claim", r"\.+$", ""))
-    # The claims are a benchmark, the same for every corpus size; the join tests each text against each.
-    found = table(spark, d, "documents").join(F.broadcast(items), F.contains("text", bare)) if items.count() <= 10_000 else table(spark, d, "documents").join(items, F.contains("text", bare))
-    return found.where(grounding.quote(F.col("claim"), F.col("text")).isNotNull()).select("item_id", "doc_id")
+    return grounding.located(items, table(spark, d, "documents").select("doc_id", "text")).select("item_id", "doc_id").distinct()
 
 
 @query(r"SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text || ' ' || turn || ' and ' || conv_id, '\d+'))) AS numbers FROM conversations")
@@ -737,11 +742,14 @@ def _contents(nodes: DataFrame, *ids: str) -> list[str]:
     return [found[i] for i in ids]
 
 
-@query(_path_sql(_PATH, "('S:1'), ('S:2')", "SELECT 'R:' || r_regionkey FROM region", 5), uses="edges")
+_ROUTE = graph.Walk(hops=3, directed=True, without=("supplies",))
+
+
+@query(_path_sql(_ROUTE, "('S:1'), ('S:2')", "SELECT 'R:' || r_regionkey FROM region", 5), uses="edges")
 def named_paths(spark: SparkSession, d: str) -> DataFrame:
     nodes, embed = _named(spark, d)
     regions = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]  # of a fixed number
-    return _path_text(retrieve.find_paths(nodes, rel.edges(spark, d), _contents(nodes, "S:1", "S:2"), regions, embed, _PATH, 5))
+    return _path_text(retrieve.find_paths(nodes, rel.edges(spark, d), _contents(nodes, "S:1", "S:2"), regions, embed, _ROUTE, 5))
 
 
 @query(_walked(graph.Walk(hops=1), "('S:3', 1.0), ('S:2', 1.0)") + " SELECT node_id, hops, round(score, 9) AS score FROM reached", uses="edges")

@@ -89,25 +89,37 @@ def loosened(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[-_.]+", " ")
 
 
-def feature_slots(x: Column, width: int) -> Column:
-    """Slot and sign of each token: the hashed bag of words behind the provider-free embedding."""
-    found = F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_-]+)"), 1)
+def words(x: Column) -> Column:
+    """The tokens of the hashed bag of words: runs of letters, digits, underscores and hyphens, lower-cased."""
+    return F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_-]+)"), 1)
+
 
-    def slot(t: Column) -> Column:
-        digest = F.sha2(t, 256)
-        index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width
-        odd = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1
-        return F.struct(index.cast("int").alias("slot"), F.when(odd, 1.0).otherwise(-1.0).alias("sign"))
+def feature_slot(token: Column, width: int) -> Column:
+    """Slot and sign of a token, from its digest."""
+    digest = F.sha2(token, 256)
+    index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width
+    odd = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1
+    return F.struct(index.cast("int").alias("slot"), F.when(odd, 1.0).otherwise(-1.0).alias("sign"))
 
-    return F.transform(found, slot)
+
+def feature_slots(x: Column, width: int) -> Column:
+    """Slot and sign of each token: the hashed bag of words behind the provider-free embedding."""
+    return F.transform(words(x), lambda t: feature_slot(t, width))
 
 
 def embedding(x: Column, width: int) -> Column:
     """The provider-free embedding: signed counts by slot, of unit length; zeros without tokens."""
-    slots = feature_slots(x, width)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(sums, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+
+    def unit(sums: Column) -> Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
+        return F.transform(sums, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+
+    def summed(slots: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
+
+    # Bound one after the other, so that no slot hashes the tokens again.
+    sums = F.transform(F.array(feature_slots(x, width)), summed)
+    return F.transform(sums, unit)[0]
 
 
 def triplets(x: Column) -> Column:

@@ -55,6 +55,24 @@ def quote(claim: Column, passage: Column) -> Column:
     return F.when((bare != "") & F.contains(passage, bare), bare).when((bare != "") & F.contains(text.loosened(passage), text.loosened(bare)), passage)
 
 
+def located(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs of ``claims`` (``claim`` and more) and ``passages`` (``text`` and more) of which the passage has the claim as a quote.
+
+    A claim that stands in a passage has its inner words there, whole and in turn. So claims and passages
+    meet on three of them, the longest, and only those pairs are tested. Claims of fewer than five words
+    are tested against all passages.
+    """
+    split = lambda x: F.filter(F.split(text.loosened(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    threes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    inner = claims.withColumn("_words", split(F.trim(F.regexp_replace("claim", r"\.+$", "")))).withColumn("_words", F.when(F.size("_words") >= 5, F.slice("_words", F.lit(2), F.size("_words") - 2)))
+    seeded = inner.where("_words is not null").withColumn("_seed", F.array_max(F.transform(threes(F.col("_words")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]).drop("_words")
+    seeds = passages.withColumn("_words", split(F.col("text"))).where(F.size("_words") >= 3)
+    seeds = seeds.select(*passages.columns, F.explode(F.array_distinct(threes(F.col("_words")))).alias("_seed"))
+    met = seeds.join(seeded, "_seed").drop("_seed")
+    short = passages.crossJoin(inner.where("_words is null").drop("_words"))  # short claims only
+    return met.unionByName(short.select(*met.columns)).where(quote(F.col("claim"), F.col("text")).isNotNull())
+
+
 def conflicting(claim: Column, pool: Column) -> Column:
     """Whether a passage of the pool has all identifiers of the claim and denies something."""
     wanted = F.transform(text.anchors(claim), text.loosened)

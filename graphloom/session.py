@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,11 @@ def reused(df: DataFrame) -> DataFrame:
     """``df`` computed once for the steps that read it again, kept in the folder that all executors share.
 
     Iterative plans use it, so that each step's plan begins there and stays small. The folder is the one
-    in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one takes its place.
+    in ``spark.checkpoint.dir``; only a local master (tests) may do without: a temporary one takes its place.
     """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()

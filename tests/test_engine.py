@@ -426,3 +426,10 @@ def test_community_runs_and_modes(spark, tmp_path):
     assert not retrieve.retrieve(gone, "what does Alpha depends_on", embed("Alpha")).chunks
     with pytest.raises(ValueError):
         store.preflight(8)
+
+
+def test_located_quotes(spark):
+    """Long claims by their inner words, short ones directly, separators loosened; no others."""
+    claims = spark.createDataFrame([(1, "the quick brown fox jumps."), (2, "fox jumps"), (3, "uses-auth_v2 of the big gate now"), (4, "..."), (5, "the quick brown cat jumps")], "k int, claim string")
+    texts = spark.createDataFrame([("a", "See the quick brown fox jumps over"), ("b", "It uses auth v2 of the big gate now."), ("c", "nothing"), ("d", None)], "d string, text string")
+    assert sorted(tuple(r) for r in grounding.located(claims, texts).select("k", "d").distinct().collect()) == [(1, "a"), (2, "a"), (3, "b")]
