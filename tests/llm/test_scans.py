@@ -98,25 +98,42 @@ def held(template, text):
     return max((len(goal & set(own[i : i + len(goal)])) / len(goal) for i in range(max(1, len(own)))), default=0)
 
 
+def shingled(text):
+    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    return [tuple(w[i : i + licenses.SHINGLE]) for i in range(len(w) - licenses.SHINGLE + 1)]
+
+
+def most_held(template, text, width):
+    """The largest part of the template's shingles in any run of ``width`` of the text's, by trying all."""
+    goal, own = set(shingled(template)), shingled(text)
+    return max((len(goal & set(own[i : i + width])) / len(goal) for i in range(max(1, len(own) - width + 1))), default=0.0)
+
+
 def test_licenses_against_brute_force(spark):
+    """Exactly the templates of which a run of a text has enough, with how much of them it has."""
     docs, names = [], list(licenses.TEMPLATES)
-    for k in range(90):
+    for k in range(110):
         text = prose(rng.randint(0, 80))
         if k % 2:
             words = licenses.TEMPLATES[names[k % len(names)]][1].split()
-            if k % 3 == 0 and len(words) > 12:
-                words[len(words) // 2] = "changed"
+            for _ in range(rng.randint(0, 1 + len(words) // 20)):
+                words[rng.randrange(len(words))] = "changed"
+            if k % 7 == 0:  # only a part
+                words = words[: int(len(words) * rng.uniform(0.5, 1))]
             text += "\n" + (" ".join(words).upper() if k % 5 == 0 else "\n ".join(words)) + "; " + prose(rng.randint(0, 40))
         docs.append((k, text))
-    docs += [(100, "All rights"), (101, "Licensed under the Apache banner of rights reserved"), (102, None), (103, "")]
+    docs += [(200, "All rights"), (201, "Licensed under the Apache banner of rights reserved"), (202, None), (203, "")]
+    docs += [(204, " gap ".join(licenses.TEMPLATES["mit-body"][1].split(". ")) + prose(20)), (205, " ".join(t for _, t in licenses.TEMPLATES.values()))]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["template"]): r for r in licenses.license_scan(frame).collect()}
-    want = {(d, n) for d, t in docs for n, (_, x) in licenses.TEMPLATES.items() if held(x, t) >= licenses.LEAST}
-    assert want <= set(got)
+    width = {n: 2 * g.stride for g in licenses.grouped(licenses.TEMPLATES) for n in g.names}
+    part = {(d, n): most_held(x, t, width[n]) for d, t in docs for n, (_, x) in licenses.TEMPLATES.items()}
+    want = {k: v for k, v in part.items() if v >= licenses.LEAST}
+    assert set(got) == set(want) and all(abs(got[k]["containment"] - want[k]) < 1e-9 for k in want)
+    assert len({n for _, n in want}) == len(names)
     text = dict(docs)
-    for (d, n), r in got.items():
-        assert r["containment"] >= licenses.LEAST and text[d][r["start"] : r["stop"]].strip() == text[d][r["start"] : r["stop"]] != ""
-        assert (d, n) in want or held(licenses.TEMPLATES[n][1], text[d]) > 0.5  # windows are wider than the template
+    for (d, _), r in got.items():
+        assert text[d][r["start"] : r["stop"]].strip() == text[d][r["start"] : r["stop"]] != ""
 
 
 def test_bands_are_sure():
