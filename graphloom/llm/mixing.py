@@ -78,8 +78,8 @@ def expected(slim: DataFrame) -> DataFrame:
     return rows.groupBy("source", "no", "source_size", "target").agg(own, lacking)
 
 
-def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """For each source of ``docs`` what it takes: whole copies by length class, and the last drawn row.
+def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Slim rows of ``docs`` and, for each source, what it takes: whole copies by length class, and the last drawn row.
 
     The whole part of how often a document is to come is certain; the rest is its inclusion probability p
     for one more copy. The documents of a source are ranked by their random odds u / (1 - u) over their
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ranked = with_plan(slim, goal).where("p > 0").select("no", "rank", "doc_id", "size", "lacking")
     drawn = prefix_sums(ranked, ["rank", "doc_id", "size"], ["size"], group="no").where("2 * before_size + size <= 2 * lacking")
     last = drawn.groupBy("no").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), "size")).alias("last"))
-    return cut(goal.join(last, "no", "left"))
+    return slim, cut(goal.join(last, "no", "left"))
 
 
 def with_plan(rows: DataFrame, goal: DataFrame) -> DataFrame:
@@ -125,15 +125,13 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     same number and count one after the other, and of those at the boundary all are taken or none. An empty
     table gives no rows. Other columns, of whatever name, are not read.
     """
-    goal = plan(docs, seed)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in().alias("size"), draw(seed).alias("u"))
-    out = copies(slim.withColumn("class", length_class(F.col("size"))), goal)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "p")
+    slim, goal = plan(docs, seed)
+    return copies(slim, goal).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "p")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``. Cases as for ``mix``."""
-    goal = plan(docs, seed)
+    _, goal = plan(docs, seed)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in().alias("size"), draw(seed).alias("u"))
     rows = copies(rows.withColumn("class", length_class(F.col("size"))), goal).where("copies > 0")
