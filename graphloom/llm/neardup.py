@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the texts meet the names of those classes once, and only their sets are kept.
     crowd = met.where("kind = 2").select("tree", "hi", F.col("a").alias("node")).distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
+    asked = asked.hint("merge")  # by a shuffle at every size: its number grows with the corpus
     own = docs.join(asked, docs.doc_id == asked.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = in_arrow(own, _sets, "node long, h1 long, shingles binary").groupBy("node").agg(F.min_by("shingles", "h1").alias("shingles"))
     sets = scratch.table(sets, "sets")
