@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import in_arrow
@@ -22,9 +22,10 @@ from graphloom.llm.words import groups
 #: Bytes of a chunk and from one chunk to the next: neighbours share more than a filter's width.
 CHUNK, STEP = 512, 480
 FILTERS, WIDTH, HIDDEN = 24, 6, 12
-#: Labelled rows of each class that train the network at most, bytes of the longest of them, and
-#: chunks of each text that are used in training.
-TRAIN_ROWS, TRAIN_BYTES, TRAIN_CHUNKS = 1200, 1 << 17, 24
+#: Bytes of texts that are scored together.
+GROUP = 1 << 19
+#: The training sample's bounds: labelled rows of each class at most, and bytes of them all. Its texts are trained on whole.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 16 << 20
 #: Bytes of the short pieces of texts that are trained on besides: at least, and fewer than.
 PIECE = (16, 200)
 EPOCHS, BATCH, RATE, DECAY = 9, 64, 0.006, 1e-5
@@ -92,12 +93,10 @@ def train(texts: list[bytes], good: np.ndarray, seed: int = 1) -> Model:
     data = np.frombuffer(b"".join(texts), np.uint8)
     chunks, first = chunked(data, np.cumsum([0, *map(len, texts)]))
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    picked = np.concatenate([np.arange(a, b) if b - a <= TRAIN_CHUNKS else np.sort(rng.choice(np.arange(a, b), TRAIN_CHUNKS, replace=False)) for a, b in zip(first[:-1], first[1:], strict=True)])
-    x, d = chunks[picked], doc[picked]
     # A short piece from the middle of each text besides, so that few bytes alone speak neither for nor against.
     pieces = [t[len(t) // 2 :][: int(n)] for t, n in zip(texts, rng.integers(*PIECE, len(texts)), strict=True)]
     short, _ = chunked(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
-    x, d = np.concatenate([x, short]), np.concatenate([d, np.arange(len(texts))])
+    x, d = np.concatenate([chunks, short]), np.concatenate([doc, np.arange(len(texts))])
     bad = (1 - good)[d].astype(np.float32)
     share = 1 / np.bincount(d, minlength=len(texts))[d]
     share = (share / share.mean()).clip(0.2, 5).astype(np.float32)
@@ -156,29 +155,50 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample: texts and labels of rows that are not held out, in order of a digest."""
+    """The bounded training sample: texts and labels of rows that are not held out.
+
+    Rows are taken in order of a digest of their id until ``TRAIN_ROWS`` of a class or ``TRAIN_BYTES`` in all
+    are reached; only a text that is larger than all of that bound can't be in it.
+    """
     spare = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0, F.lit(False))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(spare & F.col("quality").isin(0, 1))
     picked = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for q in (0, 1)]
     picked = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = rows.select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"), "quality").limit(2 * TRAIN_ROWS).collect()
+    order = (F.xxhash64("doc_id"), "doc_id", F.md5("text"), "quality")
+    rows = rows.select("doc_id", "text", "quality").orderBy(*order).limit(2 * TRAIN_ROWS)
+    # One task sums the sizes: there are no more rows than the bound.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= TRAIN_BYTES).select("doc_id", "text", "quality").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     return [r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64)
 
 
+def _pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest and the mean of each row's chunks. A text longer than a group stands alone in it and is worked off in pieces."""
+    if len(data) <= GROUP:
+        chunks, first = chunked(data, offsets)
+        z = model.junk(chunks)
+        return np.maximum.reduceat(z, first[:-1]), np.add.reduceat(z, first[:-1]) / np.diff(first)
+    many, span = -(-(len(data) - CHUNK) // STEP) + 1, GROUP // STEP
+    most, total = -np.inf, 0.0
+    for a in range(0, many, span):
+        part = data[a * STEP : (min(a + span, many) - 1) * STEP + CHUNK]
+        z = model.junk(chunked(part, np.array([0, len(part)]))[0])
+        most, total = max(most, float(z.max())), total + float(z.sum(dtype=np.float64))
+    return np.array([most]), np.array([total / many])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model | float) -> Iterator[pa.RecordBatch]:
     at_column = "text"
     for batch in batches:
         scores = []
-        for _, data, offsets in groups(batch.column(at_column), 1 << 19):
+        for _, data, offsets in groups(batch.column(at_column), GROUP):
             if isinstance(model, float):
                 scores.append(np.full(len(offsets) - 1, model))
                 continue
-            chunks, first = chunked(data, offsets)
-            z = model.junk(chunks)
-            scores.append(model.probability(np.maximum.reduceat(z, first[:-1]), np.add.reduceat(z, first[:-1]) / np.diff(first)))
+            scores.append(model.probability(*_pooled(model, data, offsets)))
         scores = np.concatenate(scores) if scores else np.zeros(0)
         names = [n for n in batch.schema.names if n != "_scored"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores)], names=[*names, "_score"])
@@ -191,16 +211,17 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | float:
     return train(texts, good)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted``.
+def scored(docs: DataFrame, labels: DataFrame, model: Model | float | None = None) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted``; by ``model`` where one is given.
 
     Reads ``doc_id`` and ``text`` of ``docs`` and ``doc_id`` and ``quality`` of ``labels``; of these only
     the text is an input of a score. Null texts are empty, and an empty text is one chunk of zeros. A
     row without ``doc_id`` is not held out and never trains. Repeated rows score alike. Labels other
     than 0 and 1 are skipped; where only one class or none is labelled, each score is that class's
-    smoothed share. An empty table gives no rows.
+    smoothed share. Repeated or contradictory labels all train. A text of any length is scored whole, a group of
+    its chunks at a time. An empty table gives no rows.
     """
-    model = fitted(docs, labels)
+    model = fitted(docs, labels) if model is None else model
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = in_arrow(slim, lambda it, m=model: (b.select(["doc_id", "_score"]) for b in _score(it, m)), "doc_id long, _score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))

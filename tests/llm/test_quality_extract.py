@@ -59,6 +59,56 @@ def test_whole_texts_count():
     assert set(chunks[1:7].ravel()) == {97} and set(chunks[8].tolist()) == {0xC3, 0xA9}
 
 
+def plain(model, text):
+    """The score of a text by a convolution in plain loops."""
+    worst, total, many = -np.inf, 0.0, 0
+    at = 0
+    while True:
+        piece = text[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        tops = np.full(quality.FILTERS, -np.inf)
+        for i in range(quality.CHUNK - quality.WIDTH + 1):
+            seen = sum(model.table[k][piece[i + k]].astype(np.float64) for k in range(quality.WIDTH))
+            tops = np.maximum(tops, seen)
+        h = np.maximum(tops + model.bias, 0)
+        z = float(np.maximum(h @ model.w1 + model.b1, 0) @ model.w2 + model.b2[0])
+        worst, total, many = max(worst, z), total + z, many + 1
+        if at + quality.CHUNK >= len(text):
+            break
+        at += quality.STEP
+    return 1 / (1 + np.exp(model.pool[0] * worst + model.pool[1] * total / many + model.pool[2]))
+
+
+def test_scores_equal_plain_loops(spark, corpus):
+    model = quality.fitted(*corpus)
+    texts = ["", "a", clean(40), junk(200), clean(100) + "\n" + junk(90), "é" * 256, "x" * 512, "x" * 513, "漢字 😀 " * 80]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, corpus[1], model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain(model, text.encode()), abs=1e-4)
+
+
+def test_long_texts_are_scored_in_pieces(corpus, monkeypatch):
+    model = quality.fitted(*corpus)
+    data = np.frombuffer((clean(4000) + junk(4000)).encode(), np.uint8)
+    whole = quality._pooled(model, data, np.array([0, len(data)]))
+    monkeypatch.setattr(quality, "GROUP", 5000)
+    assert np.allclose(whole, quality._pooled(model, data, np.array([0, len(data)])), atol=1e-4)
+
+
+def test_the_sample_is_bounded_and_whole(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    texts, good = quality.sample(docs, labels)
+    want = {r["doc_id"]: r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert sorted(texts) == sorted(t.encode() for t in want.values()) and 0 < good.sum() < len(good)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 20000)
+    few, _ = quality.sample(docs, labels)
+    assert set(few) < set(texts) and 15000 < sum(map(len, few)) <= 20000
+    # Repeated and contradictory labels, and columns of clashing names: the sample stays bounded.
+    twice = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality"))).withColumns({"text": F.lit("t"), "_id": F.lit(1), "source": F.lit("s")})
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 30)
+    assert len(quality.sample(docs.withColumns({"quality": F.lit(9), "_id": F.lit(2)}), twice)[0]) <= 60
+
+
 def test_quality_of_odd_rows(spark, odd, nothing, corpus):
     labels = corpus[1]
     rows = quality.scored(odd, labels).collect()
