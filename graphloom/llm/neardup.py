@@ -31,9 +31,6 @@ VALUES = TREES * DEPTH
 #: Neighbours in a sorted order that a class meets at either side: in a region of at most one more
 #: class than ``REACH`` that is every other; in a crowded one, the ``NEAR`` with the longest prefixes.
 REACH, NEAR = 8, 2
-#: Equal values of a signature below which a pair is no candidate: more than five standard
-#: deviations below what 75 per cent give.
-LEAST_EQUAL = 70
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,15 +146,14 @@ _PAIRS = "kind int, a long, b long, tree int, hi long"
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs with the number of equal signature values, where that is high enough."""
+    """Candidate pairs with the number of equal signature values: the likest are confirmed first, all in the end."""
     for batch in batches:
         m = batch.num_rows
         if not m:
             continue
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(m, VALUES) for c in ("sa", "sb"))
         equal = (x == y).sum(axis=1).astype(np.int32)
-        keep = np.flatnonzero(equal >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column("a").to_numpy()[keep]), pa.array(batch.column("b").to_numpy()[keep]), pa.array(equal[keep])], names=["a", "b", "equal"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal)], names=["a", "b", "equal"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
